@@ -31,8 +31,8 @@ def decompose(c: Column | str) -> Column:
 
 
 def fold_case(c: Column | str) -> Column:
-    """Upper, then lower case: 'ß' and 'SS' meet in 'ss'."""
-    return F.lower(F.upper(col(c)))
+    """Lower case, with 'ß' as 'ss' and final sigma as sigma, so that it meets what upper case makes of them."""
+    return F.replace(F.translate(F.lower(col(c)), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
 def fold_diacritics(c: Column | str) -> Column:
