@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petalstream.llm import duplicates, repeated_lines, truncation
+from petalstream.llm import duplicates, encoding, packing, repeated_lines, sentences, tokenize, truncation
+from petalstream.plans.session import cut
 from petalstream.sources.tables import table
 
 RECORD = ("title", "price_raw", "description", "promo", "image")
@@ -64,13 +65,43 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(truncation.truncated(products, "description", "seq", "shop"), "shop")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    products = table(spark, d, "products").select("seq", "title", "description")
+    return encoding.garbled(products, ("title", "description"), "seq").select("seq", "field")
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled values with what could be restored of them."""
+    products = table(spark, d, "products").select("seq", "title", "description")
+    return encoding.garbled(products, ("title", "description"), "seq")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.token_ids(table(spark, d, "documents"), "text", "doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of 2,048 tokens of each document, or of each piece of one that is longer."""
+    sizes = cut(tokenize.token_counts(table(spark, d, "documents"), "text", "doc_id"))
+    return packing.pack(sizes, "doc_id", "n_tokens")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"), "text", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 
 ORACLES: dict[str, str] = {}
