@@ -6,22 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petalstream.functions.text import compose
+from petalstream.plans.session import cut
 
 #: Marks that may be left where a text was cut.
 CUT_MARK = r"(?:\s*(?:\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.))\s*$"
-#: Numbers; words (letters with marks, joined by apostrophe, hyphen or full stop only inside); single characters of scripts without
-#: spaces; stops and pauses; line ends. Quotes, brackets, list marks and symbols are no tokens.
-TOKEN = (
-    r"\n|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}ー]|\p{N}+(?:[.,:]\p{N}+)*|"
-    r"(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])[\p{L}\p{M}])+|[.!?。！？…,;:、，：；₫%]"
-)
-
-
-def word_tokens(c: Column) -> Column:
-    """Lower-case tokens of a composed text; every number is '0', line ends are '\\n'."""
+#: Words (letters with marks), numbers, single characters of scripts without spaces, stops and pauses, closing brackets, line ends. Quotes, list
+#: marks and symbols are no tokens.
+SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}ー"
+TOKEN = rf"[\p{{L}}\p{{M}}&&[^{SINGLE}]]+|\p{{N}}+(?:[.,:]\p{{N}}+)*|[{SINGLE}]|[.!?。！？…,;:、，：；₫)）]|\n"
+# In the spaced form of a text: starts of lines, ends of lines, the text's end. None of them is a token.
+START, LINE, END = "^ ^", "$", "@"
+#: Each trigram whose last word is not the text's last, with " $" where a line ends after it; overlapping, by a match of no width.
+INSIDE = r"(?<![^ ])(?=([^ ]+ [^ ]+ [^ ^$@][^ ]*(?: \$)?) (?!@))"
+
+
+def spaced(c: Column) -> Column:
+    """The lower-case tokens of a text, each after a space, with line starts, line ends and the text's end; every number is '0'."""
     numbered = F.regexp_replace(F.lower(c), r"\p{N}+(?:[.,:]\p{N}+)*", "0")
-    lines = F.regexp_replace(F.regexp_replace(numbered, r"\s*\n\s*", "\n"), r"\s+$", "")
-    return F.regexp_extract_all(lines, F.lit(TOKEN), F.lit(0))
+    tokens = F.array_join(F.regexp_extract_all(numbered, F.lit(TOKEN), F.lit(0)), " ")
+    lines = F.regexp_replace(F.regexp_replace(tokens, r"^(?:\n ?)+|(?: ?\n)+$", ""), r"(?:\n ?)+", f"\\{LINE} {START} ")
+    return F.concat_ws(" ", F.lit(START), F.nullif(lines, F.lit("")), F.lit(END))
 
 
 def _key(kind: str, *cols: Column) -> Column:
@@ -44,22 +48,21 @@ def truncated(
     Null, empty and blank texts are not cut. An empty table gives no rows. Rows keep their number: equal keys or texts stay apart.
     """
     base = df.select(F.col(key), F.col(source), compose(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    own = base.select(key, source, F.col("t").rlike(CUT_MARK).alias("marked"), word_tokens(F.regexp_replace("t", CUT_MARK, "")).alias("tok"))
-    n = F.size("tok")
-
-    # the last line end is no token of a text; a token's context reaches back to its line's start, "^"
-    def around(i: Column) -> list[Column]:
-        at = lambda j: F.when(j < 1, "\n").otherwise(F.get("tok", j - 1))
-        b = at(i - 1)
-        a = F.when(b == "\n", "^").otherwise(F.when(at(i - 2) == "\n", "^").otherwise(at(i - 2)))
-        return [a.alias("a"), F.when(b == "\n", "^").otherwise(b).alias("b"), F.get("tok", i - 1).alias("c")]
-
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(*around(i), F.when(F.get("tok", i) == "\n", 1).otherwise(0).alias("e")))
-    inside = own.where(n > 1).select(F.explode(grams).alias("g")).select("g.*").where("c != '\n'")
-    inside = inside.groupBy("a", "b", "c").agg(F.sum(1 - F.col("e")).alias("i"), F.sum("e").alias("t"))
-    final = own.where(n > 0).select(key, source, F.struct(*around(n)).alias("g"), F.xxhash64("tok").alias("whole")).select("g.*", "whole")
-    ends = final.distinct().groupBy("a", "b", "c").agg(F.lit(0).cast("long").alias("i"), F.count("*").alias("t"))
-    stats = inside.unionByName(ends).groupBy("a", "b", "c").agg(F.sum("i").alias("i"), F.sum("t").alias("t"))
+    form = spaced(F.regexp_replace("t", CUT_MARK, ""))
+    # a generator of one element keeps the optimizer from working the form out anew for each use
+    own = base.select(key, source, F.col("t").rlike(CUT_MARK).alias("marked"), F.explode(F.array(form)).alias("form"))
+    rows = own.select(key, source, "marked", F.xxhash64("form").alias("whole"), F.split(F.substring_index("form", " ", -4), " ").alias("w"))
+    word = lambda i, name: F.get("w", F.lit(i)).alias(name)
+    some = F.size("w") > 3
+    rows = cut(rows.select(key, source, "whole", (F.col("marked") & some).alias("marked"), *[F.when(some, word(i, x)).alias(x) for i, x in enumerate("abc")]))
+
+    inside = own.select(F.explode(F.regexp_extract_all("form", F.lit(INSIDE), F.lit(1))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    inside = inside.select(F.split("g", " ").alias("w"), "n")
+    at_end = F.size("w") > 3
+    inside = inside.select(word(0, "a"), word(1, "b"), word(2, "c"), F.when(at_end, 0).otherwise(F.col("n")).alias("i"), F.when(at_end, F.col("n")).otherwise(0).alias("t"))
+    final = rows.where("c is not null").groupBy("a", "b", "c", "whole").agg(F.lit(1).alias("one"))
+    ends = final.groupBy("a", "b", "c").agg(F.lit(0).cast("long").alias("i"), F.count("*").alias("t"))
+    stats = inside.unionByName(ends)
 
     # what is asked of the counts: by one hash each, for the trigram, its shorter contexts, and for each beginning of its last word
     a, b, c = F.col("a"), F.col("b"), F.col("c")
@@ -71,7 +74,7 @@ def truncated(
     )
     counts = stats.select(F.explode(told).alias("k"), "i", "t").groupBy("k").agg(F.sum("i").alias("i"), F.sum("t").alias("t"))
     kinds = {"abc": (a, b, c), "bc": (b, c), "c": (c,), "ab": (a, b), "ab-": (a, b, c), "b-": (b, c)}
-    asked = final.select("a", "b", "c").distinct().select("a", "b", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _key(k, *v).alias("k")) for k, v in kinds.items()])).alias("q"))
+    asked = rows.where("c is not null").select("a", "b", "c").distinct().select("a", "b", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _key(k, *v).alias("k")) for k, v in kinds.items()])).alias("q"))
     asked = asked.select("a", "b", "c", "q.kind", "q.k").join(counts, "k", "left")
     of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(x))), F.lit(0))
     known = asked.groupBy("a", "b", "c").agg(*[of(k, x).alias(f"{x}_{k}") for k in kinds for x in "it"])
@@ -89,7 +92,6 @@ def truncated(
     stop = c.rlike(r"^\p{P}$") & (before >= 10 * least) & (here3 * 100 < before * stop_pct)
     ends_rarely = F.when(has3, rare3).when(has2, rare2).otherwise(has1 & rare1)
     flags = known.select("a", "b", "c", (ends_rarely | broken | stop).alias("is_cut"))
-    rows = own.withColumn("g", F.when(n > 0, F.struct(*around(n)))).select(key, source, "marked", "g.*")
     out = rows.join(flags, ["a", "b", "c"], "left")
     return out.select(key, source, F.when(F.col("c").isNull(), False).otherwise(F.col("marked") | F.coalesce("is_cut", F.lit(False))).alias("is_cut"))
 
