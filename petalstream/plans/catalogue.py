@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from petalstream.operators import retrieval
+from petalstream.operators import profile, retrieval
+from petalstream.plans.session import cut
 from petalstream.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +24,114 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+# ---- problem 5: profiles of the loads
+
+TEXTS = ("shop", "url", "title", "price_raw", "description", "promo", "image", "content_hash")
+NULL_RATES = ("title", "description", "price_raw", "price_vnd", "image")
+HASH_CONTRACT = "[0-9a-f]{16}"
+
+
+def _profiled(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    products = table(spark, d, "products").select("load_id", "price_vnd", *TEXTS)
+    return profile.profile(products, "load_id", TEXTS, ("price_vnd",), {"content_hash": HASH_CONTRACT})
+
+
+def _load_metrics(profiled: DataFrame) -> DataFrame:
+    """One row per load with the published metrics, rates in units of the fourth decimal, rounded down."""
+    of = lambda c, x: F.max(F.when(F.col("column") == c, F.col(x)))
+    empty = lambda c: of(c, "n_null") - of(c, "n_missing")
+    distinct = lambda c: of(c, "n_distinct") + (empty(c) > 0).cast("long")
+    n = F.max("n_rows")
+    units = lambda x: ((x * 10000 - (x * 10000) % n) / n).cast("long")
+    return profiled.groupBy("load_id").agg(
+        n.alias("documents"), *[units(of(c, "n_null")).alias(f"null_rate.{c}") for c in NULL_RATES], units(n - of("price_vnd", "n_missing")).alias("price_parse_rate"),
+        distinct("url").alias("distinct_urls"), (n - distinct("url")).alias("duplicate_urls"),
+        (n - of("content_hash", "n_missing") - distinct("content_hash")).alias("duplicate_content_hashes"),
+        (of("content_hash", "n_violations") + empty("content_hash")).alias("hash_pattern_violations"),
+        of("price_vnd", "n_min").alias("price_vnd_min"), of("price_vnd", "n_max").alias("price_vnd_max"),
+        units(n - distinct("url")).alias("duplicate_share"),
+    )
+
+
+RATES = (*[f"null_rate.{c}" for c in NULL_RATES], "price_parse_rate")
+COUNTS = ("documents", "distinct_urls", "duplicate_urls", "duplicate_content_hashes", "hash_pattern_violations", "price_vnd_min", "price_vnd_max")
+
+
+@query(
+    "p5_found",
+    """
+    WITH m AS (
+      SELECT load_id, count(*) AS documents,
+        count(*) FILTER (title IS NULL OR title = '') AS n_title, count(*) FILTER (description IS NULL OR description = '') AS n_description,
+        count(*) FILTER (price_raw IS NULL OR price_raw = '') AS n_price_raw, count(*) FILTER (price_vnd IS NULL) AS n_price_vnd,
+        count(*) FILTER (image IS NULL OR image = '') AS n_image, count(DISTINCT url) AS distinct_urls,
+        count(content_hash) - count(DISTINCT content_hash) AS duplicate_content_hashes,
+        count(*) FILTER (content_hash IS NOT NULL AND NOT regexp_full_match(content_hash, '[0-9a-f]{16}')) AS hash_pattern_violations,
+        min(price_vnd) AS price_vnd_min, max(price_vnd) AS price_vnd_max
+      FROM products GROUP BY load_id),
+    j AS (
+      SELECT q.load_id, q.run_id, q.load_no, q.null_rate, q.price_parse_rate AS p_parse, coalesce(m.documents, 0) AS n, m.* EXCLUDE (load_id),
+        m.documents - m.distinct_urls AS duplicate_urls, q.documents AS p_documents, q.duplicate_urls AS p_duplicate_urls, q.distinct_urls AS p_distinct_urls,
+        q.duplicate_content_hashes AS p_hashes, q.hash_pattern_violations AS p_violations, q.price_vnd_min AS p_min, q.price_vnd_max AS p_max
+      FROM quality_corrupt q LEFT JOIN m USING (load_id)),
+    long AS (
+      SELECT load_id, run_id, load_no, unnest([
+        {'metric': 'documents', 'v': n, 'p': p_documents::DOUBLE, 'rate': false, 's': NULL::BIGINT},
+        {'metric': 'null_rate.title', 'v': n_title * 10000 // n, 'p': null_rate.title, 'rate': true, 's': n_title * 10000 // n},
+        {'metric': 'null_rate.description', 'v': n_description * 10000 // n, 'p': null_rate.description, 'rate': true, 's': n_description * 10000 // n},
+        {'metric': 'null_rate.price_raw', 'v': n_price_raw * 10000 // n, 'p': null_rate.price_raw, 'rate': true, 's': n_price_raw * 10000 // n},
+        {'metric': 'null_rate.price_vnd', 'v': n_price_vnd * 10000 // n, 'p': null_rate.price_vnd, 'rate': true, 's': n_price_vnd * 10000 // n},
+        {'metric': 'null_rate.image', 'v': n_image * 10000 // n, 'p': null_rate.image, 'rate': true, 's': n_image * 10000 // n},
+        {'metric': 'price_parse_rate', 'v': (n - n_price_vnd) * 10000 // n, 'p': p_parse, 'rate': true, 's': (n - n_price_vnd) * 10000 // n},
+        {'metric': 'distinct_urls', 'v': distinct_urls, 'p': p_distinct_urls::DOUBLE, 'rate': false, 's': NULL},
+        {'metric': 'duplicate_urls', 'v': duplicate_urls, 'p': p_duplicate_urls::DOUBLE, 'rate': false, 's': duplicate_urls * 10000 // n},
+        {'metric': 'duplicate_content_hashes', 'v': duplicate_content_hashes, 'p': p_hashes::DOUBLE, 'rate': false, 's': NULL},
+        {'metric': 'hash_pattern_violations', 'v': hash_pattern_violations, 'p': p_violations::DOUBLE, 'rate': false, 's': NULL},
+        {'metric': 'price_vnd_min', 'v': price_vnd_min, 'p': p_min::DOUBLE, 'rate': false, 's': NULL},
+        {'metric': 'price_vnd_max', 'v': price_vnd_max, 'p': p_max::DOUBLE, 'rate': false, 's': NULL}]) AS x
+      FROM j),
+    w AS (SELECT load_id, load_no, x.metric AS metric, x.v AS v, x.p AS p, x.rate AS rate, x.s AS s,
+            lag(x.s) OVER (PARTITION BY run_id, x.metric ORDER BY load_no) AS before FROM long)
+    SELECT load_id, metric, 'misreported' AS kind FROM w
+    WHERE p IS NOT NULL AND (v IS NULL OR abs(p - CASE WHEN rate THEN v / 10000.0 ELSE v END) > 1e-9)
+    UNION ALL
+    SELECT load_id, metric, 'shifted' AS kind FROM w WHERE load_no > 1 AND abs(s - before) > 1000
+    """,
+)
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The published reports that differ from the profiles, and the shifts between loads of a run."""
+    profiled, _ = _profiled(spark, d)
+    measured = cut(_load_metrics(profiled))
+    published = table(spark, d, "quality_corrupt")
+    rows = published.select(
+        "load_id", "run_id", "load_no", F.struct(*[F.col(c).cast("double").alias(c) for c in COUNTS], *[F.col(c).alias(c) for c in RATES]).alias("p")
+    ).join(measured.select(F.col("load_id").alias("m_load_id"), F.struct(*[c for c in ("duplicate_share",)], *[F.col(f"`{c}`") for c in (*COUNTS, *RATES)]).alias("m")), F.col("load_id") == F.col("m_load_id"), "left")
+    none = F.lit(None).cast("long")
+    got = lambda c: F.col(f"m.`{c}`").cast("long")
+    each = [F.struct(F.lit(c).alias("metric"), (F.coalesce(got(c), F.lit(0)) if c == "documents" else got(c)).alias("v"), F.col(f"p.`{c}`").alias("p"), F.lit(1.0).alias("unit"),
+                     (got("duplicate_share") if c == "duplicate_urls" else none).alias("s")) for c in COUNTS]
+    each += [F.struct(F.lit(c).alias("metric"), got(c).alias("v"), F.col(f"p.`{c}`").alias("p"), F.lit(10000.0).alias("unit"), got(c).alias("s")) for c in RATES]
+    long = rows.select("load_id", "run_id", "load_no", F.explode(F.array(*each)).alias("x")).select("load_id", "run_id", "load_no", "x.*")
+    before = F.lag("s").over(Window.partitionBy("run_id", "metric").orderBy("load_no"))
+    long = long.withColumn("before", before)
+    differs = F.col("p").isNotNull() & (F.col("v").isNull() | (F.abs(F.col("p") - F.col("v") / F.col("unit")) > 1e-9))
+    shifted = (F.col("load_no") > 1) & (F.abs(F.col("s") - F.col("before")) > 1000)
+    kinds = F.array_compact(F.array(F.when(differs, "misreported"), F.when(shifted, "shifted")))
+    return long.select("load_id", "metric", F.explode(kinds).alias("kind"))
+
+
+@query("p5_profile")
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every column by load, with the expressions that were induced."""
+    profiled, expressions = _profiled(spark, d)
+    named = F.create_map(*[x for c, e in expressions.items() for x in (F.lit(c), F.lit(" | ".join(e)))])
+    return profiled.withColumn("expressions", named[F.col("column")])
+
+
+@query("p5_coverage")
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each column its expressions describe, load by load, beside the load before."""
+    profiled, _ = _profiled(spark, d)
+    return profile.coverage_changes(profiled, "load_id", table(spark, d, "quality_corrupt"), "run_id", "load_no")

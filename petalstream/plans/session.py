@@ -17,6 +17,7 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
