@@ -65,9 +65,12 @@ def tokens(c: Column | str) -> Column:
 
 
 def shingles(tok: Column, size: int = 8) -> Column:
-    """Distinct runs of `size` tokens; an empty list below that many."""
-    each = F.transform(F.sequence(F.lit(1), F.size(tok) - size + 1), lambda i: F.array_join(F.slice(tok, i, size), " "))
-    return F.when(F.size(tok) < size, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+    """Distinct runs of `size` tokens; an empty list below that many.
+
+    One overlapping match over the joined tokens: element-wise lambdas would work the tokens out anew for each run.
+    """
+    run = rf"(?<![^ ])(?=((?:[^ ]+ ){{{size - 1}}}[^ ]+)(?: |$))"
+    return F.array_distinct(F.regexp_extract_all(F.array_join(tok, " "), F.lit(run), F.lit(1)))
 
 
 def is_null_word(c: Column | str, words: tuple = (*NULL_WORDS, "na")) -> Column:

@@ -2,19 +2,168 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product in doubles, in order of the elements."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+from petalstream.functions.text import tokens
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str = "hit_rank") -> DataFrame:
     """The k best rows of each query; ties go to the smaller `tie`. A WindowGroupLimit prunes before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(tie))
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, k: int, block: int = 2048, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, hit_rank): the exact k nearest rows of each query by inner product, rounded to `digits`; ties by doc_id.
+
+    Queries go in blocks of about `block` vectors, so what is sent to the executors has a bound; each task multiplies its rows with a
+    block and keeps the k best of each query, which are merged by rank. Vectors that are null or of another length than the block's
+    first are left out. No queries or no rows give no hits.
+    """
+    n = queries.where(F.col(vector).isNotNull()).count()
+    count = max(1, -(-n // block))
+    spark = docs.sparkSession
+    parts = []
+    for i in range(count):
+        own = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(query_id), F.lit(count)) == i)).select(query_id, vector).collect()
+        width = len(own[0][1]) if own else 0
+        own = [r for r in own if len(r[1]) == width]
+        shared = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own], dtype=np.float64).reshape(len(own), width)))
+        parts.append(docs.select(F.col(doc_id).cast("long"), vector).where(F.col(vector).isNotNull() & (F.size(vector) == width)).mapInArrow(_scores(shared, k, digits, [query_id, doc_id, "score"]), f"{query_id} long, {doc_id} long, score double"))
+    hits = reduce(DataFrame.unionByName, parts)
+    return top_k(hits, query_id, "score", doc_id, k)
+
+
+def _scores(shared, k: int, digits: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        if not len(ids):
+            return
+        best = np.empty((len(ids), 0))
+        who = np.empty((len(ids), 0), dtype=np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, q.shape[1])
+            s = np.round(q @ x.T, digits)
+            best = np.hstack([best, s])
+            who = np.hstack([who, np.tile(b.column(0).to_numpy(), (len(ids), 1))])
+            order = np.lexsort((who, -best), axis=1)[:, :k]
+            best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
+        m = best.shape[1]
+        columns = [pa.array(np.repeat(np.array(ids, dtype=np.int64), m)), pa.array(who.ravel()), pa.array(best.ravel())]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, term, tf, doc_len) of each term of each text."""
+    terms = docs.select(doc_id, tokens(text).alias("__t"))
+    rows = terms.select(doc_id, F.size("__t").alias("doc_len"), F.explode("__t").alias("term"))
+    return rows.groupBy(doc_id, "doc_len", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) of every text that shares a term with a query; each distinct query term counts once.
+
+    Queries meet texts in an equi-join on terms: postings without a query term drop out before anything is scored, and sums combine
+    map-side. A text without terms is not counted, nor are repeated doc ids told apart.
+    """
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(question))).alias("term"))
+    terms = asked.select("term").distinct()
+    sizes = docs.select(F.size(tokens(text)).alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_len"))
+    own = postings(docs, doc_id, text).join(terms, "term", "left_semi")
+    df = own.groupBy("term").agg(F.count("*").alias("df"))
+    weights = df.join(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
+    scored = own.join(weights, "term").select(doc_id, "term", part.alias("part"))
+    return scored.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
+
+
+def fuse(lists: list[DataFrame], query_id: str, doc_id: str, k: int, constant: int = 60, rank: str = "hit_rank", digits: int = 9) -> DataFrame:
+    """(query_id, doc_id, score, hit_rank): reciprocal rank fusion of ranked lists; ties by doc_id."""
+    rows = reduce(DataFrame.unionByName, [x.select(query_id, doc_id, (F.lit(1.0) / (F.col(rank) + constant)).alias("part")) for x in lists])
+    fused = rows.groupBy(query_id, doc_id).agg(F.round(F.sum("part"), digits).alias("score"))
+    return top_k(fused, query_id, "score", doc_id, k, rank)
+
+
+def rerank(hits: DataFrame, query_id: str, score: Column, k: int, rank: str = "hit_rank") -> DataFrame:
+    """The k best hits by another score, given as a column; equal scores keep their old order. Adds rerank_score."""
+    w = Window.partitionBy(query_id).orderBy(F.desc("rerank_score"), F.asc("__old"))
+    out = hits.withColumnRenamed(rank, "__old").withColumn("rerank_score", score).withColumn(rank, F.row_number().over(w))
+    return out.where(F.col(rank) <= k).drop("__old")
+
+
+def abstentions(queries: DataFrame, hits: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, abstained): whether nothing was found for a query."""
+    answered = hits.select(query_id).distinct().withColumn("__hit", F.lit(1))
+    return queries.select(query_id).join(answered, query_id, "left").select(query_id, F.col("__hit").isNull().alias("abstained"))
+
+
+@dataclass(frozen=True)
+class RetrievalConfig:
+    """A plan: what is fetched, filtered, fused and cut."""
+
+    name: str
+    top_k: int = 5
+    fetch_k: int = 20
+    rerank: bool = False
+    prefilter: bool = False
+    hybrid: bool = False
+    threshold: float | None = None
+
+    def __post_init__(self) -> None:
+        if self.hybrid and self.threshold is not None:
+            raise ValueError("fused scores are no similarities: no threshold")
+
+
+CONFIGS = {
+    c.name: c
+    for c in (
+        RetrievalConfig("baseline"), RetrievalConfig("dense"), RetrievalConfig("dense_threshold", threshold=0.6),
+        RetrievalConfig("dense_rerank", rerank=True, threshold=0.6), RetrievalConfig("dense_budget", prefilter=True), RetrievalConfig("hybrid", hybrid=True),
+        RetrievalConfig("hybrid_budget", prefilter=True, hybrid=True), RetrievalConfig("full", rerank=True, prefilter=True, threshold=0.6),
+    )
+}
+
+
+def run_config(
+    config: RetrievalConfig, docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, wanted: Column | None = None,
+    lexical: DataFrame | None = None, second: Callable[[DataFrame], Column] | None = None,
+) -> DataFrame:
+    """The ranked hits of a configuration. The filter stands below ranking and fusion; the threshold is on the first score, after
+    re-ranking; `lexical` are ranked hits to fuse with, `second` makes the re-ranking score of the fetched hits."""
+    rows = docs.where(wanted) if config.prefilter and wanted is not None else docs
+    fetched = config.fetch_k if config.rerank or config.hybrid else config.top_k
+    hits = dense_top_k(rows, queries, doc_id, query_id, vector, fetched)
+    if config.hybrid and lexical is not None:
+        other = lexical.join(rows.select(doc_id), doc_id, "left_semi") if config.prefilter and wanted is not None else lexical
+        return fuse([hits, other.where(F.col("hit_rank") <= fetched)], query_id, doc_id, config.top_k)
+    if config.rerank and second is not None:
+        hits = rerank(hits, query_id, second(hits), fetched)
+    if config.threshold is not None:
+        hits = hits.where(F.col("score") >= config.threshold)
+    return top_k_by_rank(hits, query_id, config.top_k)
+
+
+def top_k_by_rank(hits: DataFrame, query_id: str, k: int, rank: str = "hit_rank") -> DataFrame:
+    """The first k of the hits left after a filter, ranked anew."""
+    w = Window.partitionBy(query_id).orderBy(rank)
+    return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop(rank).withColumnRenamed("__r", rank)
+
+
+def write_index(docs: DataFrame, path: str, key: str, seq: str, buckets: int = 16) -> None:
+    """Writes a vector table, the last row of each key, partitioned by a hash of the key, so that an upsert rewrites only what it hits."""
+    from petalstream.operators.ordering import keep_last
+
+    keep_last(docs, [key], [seq]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+

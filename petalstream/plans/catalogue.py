@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from petalstream.operators import profile, retrieval
+from petalstream.functions import text as T
+from petalstream.operators import citations, evaluation, evalset, ordering, profile, quality, retrieval, states
 from petalstream.plans.session import cut
+from petalstream.sources import files
 from petalstream.sources.tables import table
+from petalstream.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +138,487 @@ def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each column its expressions describe, load by load, beside the load before."""
     profiled, _ = _profiled(spark, d)
     return profile.coverage_changes(profiled, "load_id", table(spark, d, "quality_corrupt"), "run_id", "load_no")
+
+
+# ---- text columns
+
+TOK = r"[\p{L}\p{N}_]+"
+SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+
+
+@query("normalize_text", rf"""
+    WITH s AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(coalesce(text, '')), '{SPACES}', ' ', 'g')) AS t FROM documents)
+    SELECT doc_id, CASE WHEN lower(t) IN ('nan', 'none', 'null', '<na>') THEN '' ELSE t END AS text FROM s""")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalize_text("text").alias("text"))
+
+
+@query("fold_diacritics", "SELECT id, strip_accents(lower(question)) AS folded FROM golden")
+def fold_diacritics(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "golden").select("id", T.fold_diacritics("question").alias("folded"))
+
+
+@query("canonical_url", "SELECT seq, lower(regexp_replace(regexp_replace(url, '[?#](.|\\n)*$', ''), '/+$', '')) AS canon FROM products")
+def canonical_url(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", T.canonical_url("url").alias("canon"))
+
+
+@query("content_hash16", "SELECT seq, left(sha256(url || chr(31) || coalesce(title, '') || chr(31) || coalesce(description, '')), 16) AS h FROM products")
+def content_hash16(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", T.content_hash("url", "title", "description").alias("h"))
+
+
+@query("point_id_v5", r"""
+    WITH h AS (SELECT seq, lower(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))) AS h FROM products)
+    SELECT seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+      substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
+def point_id_v5(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", T.uuid5("url").alias("point_id"))
+
+
+@query("embed_text", """
+    SELECT seq, concat_ws(' . ', nullif(title, ''), nullif(description, '')) AS embed,
+      CASE WHEN coalesce(title, '') = '' OR coalesce(price_raw, '') = '' OR coalesce(description, '') = '' OR coalesce(promo, '') = ''
+        THEN 'nan' ELSE concat_ws(' ', title, price_raw, description, promo) END AS naive FROM products""")
+def embed_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", states.embed_text("title", "description").alias("embed"), states.baseline_text("title", "price_raw", "description", "promo").alias("naive"))
+
+
+@query("misdecoded_titles", "SELECT seq FROM products WHERE title IS NOT NULL")
+def misdecoded_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles whose bytes were read as another encoding and back again are what they were: one row for each."""
+    rows = table(spark, d, "products").where("title is not null").select("seq", "title", T.misdecode("title").alias("bad"))
+    return rows.where(F.decode(F.encode("bad", "ISO-8859-1"), "UTF-8") == F.col("title")).select("seq")
+
+
+@query("phrase_contains", rf"""
+    SELECT id, contains(' ' || array_to_string(regexp_extract_all(lower(question), '{TOK}'), ' ') || ' ', ' lan hồ điệp ') AS has_phrase FROM golden""")
+def phrase_contains(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "golden").select("id", evalset.contains_phrase(F.col("question"), "lan hồ điệp").alias("has_phrase"))
+
+
+# ---- corpus health
+
+DOC_TOKENS = f"SELECT doc_id, lang, source, text, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TOK}'))) AS token FROM documents"
+
+
+@query("token_doc_freq", f"SELECT token, count(*) AS df FROM ({DOC_TOKENS}) GROUP BY token")
+def token_doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_frequency(table(spark, d, "documents"), "text")
+
+
+FILLED = "SELECT source, count(*) AS n FROM documents WHERE text <> '' GROUP BY source"
+
+
+@query("boilerplate_tokens", f"""
+    SELECT t.source, token, count(*) AS df FROM ({DOC_TOKENS}) t JOIN ({FILLED}) n ON t.source = n.source
+    GROUP BY t.source, token, n.n HAVING count(*) >= 0.3 * n.n""")
+def boilerplate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return quality.boilerplate_tokens(table(spark, d, "documents"), "text", ["source"], 0.3)
+
+
+@query("boilerplate_ratio", f"""
+    WITH f AS (SELECT t.source, token, count(*) AS df, n.n FROM ({DOC_TOKENS}) t JOIN ({FILLED}) n ON t.source = n.source GROUP BY t.source, token, n.n)
+    SELECT source, round(sum(CASE WHEN df >= 0.3 * n THEN df ELSE 0 END) / sum(df), 6) AS ratio FROM f GROUP BY source""")
+def boilerplate_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return quality.boilerplate_ratio(table(spark, d, "documents"), "text", ["source"], 0.3).select("source", F.round("ratio", 6).alias("ratio"))
+
+
+GRAMS = f"""
+    w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOK}') AS t FROM documents),
+    g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' ')))) AS g FROM w WHERE len(t) >= 8),
+    r AS (SELECT g, count(*) AS df FROM g GROUP BY g HAVING count(*) >= greatest(2, floor(0.005 * (SELECT count(*) FROM documents))))"""
+
+
+@query("repeated_passages", f"WITH {GRAMS} SELECT df, count(*) AS n_passages FROM r GROUP BY df")
+def repeated_passages(spark: SparkSession, d: str) -> DataFrame:
+    return quality.repeated_passages(table(spark, d, "documents"), "text", "doc_id", 8, 0.005).groupBy("df").agg(F.count("*").alias("n_passages"))
+
+
+@query("repeated_share", f"WITH {GRAMS} SELECT doc_id, round(count(r.g) / count(*), 6) AS share FROM g LEFT JOIN r USING (g) GROUP BY doc_id")
+def repeated_share(spark: SparkSession, d: str) -> DataFrame:
+    return quality.repeated_share(table(spark, d, "documents"), "text", "doc_id", 8, 0.005).select("doc_id", F.round("share", 6).alias("share"))
+
+
+@query("quality_report", """
+    SELECT shop, count(*) AS documents, count(*) FILTER (coalesce(title, '') = '') AS null_title, count(*) FILTER (coalesce(description, '') = '') AS null_description,
+      count(*) FILTER (lower(trim(coalesce(title, ''))) IN ('nan', 'none', 'null', '<na>', 'na') OR lower(trim(coalesce(description, ''))) IN ('nan', 'none', 'null', '<na>', 'na')) AS null_words,
+      count(url) - count(DISTINCT url) AS duplicate_urls, count(content_hash) - count(DISTINCT content_hash) AS duplicate_hashes
+    FROM products GROUP BY shop""")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_report(table(spark, d, "products"), "url", ("title", "description"), "content_hash", ["shop"])
+
+
+@query("url_variants", """
+    WITH c AS (SELECT lower(regexp_replace(regexp_replace(url, '[?#](.|\\n)*$', ''), '/+$', '')) AS canon, url FROM products)
+    SELECT canon, count(*) AS n_rows, count(DISTINCT url) AS n_forms FROM c GROUP BY canon HAVING count(DISTINCT url) > 1""")
+def url_variants(spark: SparkSession, d: str) -> DataFrame:
+    return quality.url_variants(table(spark, d, "products"), "url")
+
+
+@query("freshness", """
+    SELECT shop, min(floor((epoch_us(TIMESTAMPTZ '2025-01-01 00:00:00+00') - epoch_us(crawled_at)) / 86400000000))::BIGINT AS newest_days,
+      max(floor((epoch_us(TIMESTAMPTZ '2025-01-01 00:00:00+00') - epoch_us(crawled_at)) / 86400000000))::BIGINT AS oldest_days FROM products GROUP BY shop""")
+def freshness(spark: SparkSession, d: str) -> DataFrame:
+    return quality.freshness(table(spark, d, "products"), "crawled_at", F.lit("2025-01-01 00:00:00").cast("timestamp"), ["shop"])
+
+
+# ---- states
+
+
+@query("clean_drop_reasons", """
+    WITH e AS (SELECT seq, url, CASE WHEN NOT starts_with(url, 'https://') THEN 'unwanted' WHEN coalesce(title, '') = '' THEN 'no_title' END AS early FROM products),
+    f AS (SELECT url, min(seq) AS first FROM e WHERE early IS NULL GROUP BY url)
+    SELECT coalesce(early, CASE WHEN seq > first THEN 'duplicate' END) AS drop_reason, count(*) AS n FROM e LEFT JOIN f USING (url) GROUP BY 1""")
+def clean_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    products = table(spark, d, "products").select("seq", "url", "title")
+    return states.clean(products, "url", "title", "seq", F.col("url").startswith("https://")).groupBy("drop_reason").agg(F.count("*").alias("n"))
+
+
+@query("keep_first_url", "SELECT url, min(seq) AS seq FROM products GROUP BY url")
+def keep_first_url(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.keep_first(table(spark, d, "products").select("url", "seq"), ["url"], ["seq"])
+
+
+DRAW = "('0x' || left(md5(concat_ws(':', '42', '{0}', seq)), 8))::BIGINT / 4294967296.0"
+
+
+@query("corrupt_summary", "SELECT label, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS label FROM products WHERE {DRAW.format(k)} < {r}" for k, r in (("missing_field", 0.08), ("boilerplate_flood", 0.25), ("truncation", 0.08), ("mojibake", 0.06), ("duplication", 0.05))
+) + ") GROUP BY label")
+def corrupt_summary(spark: SparkSession, d: str) -> DataFrame:
+    products = table(spark, d, "products").select("seq", "url", "title", "description")
+    return states.corrupt(products, "seq", "url", "title", "description").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("repair_scores")
+def repair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Damage is found again: precision, recall and F1 of each label against the truth."""
+    first = ordering.keep_first(table(spark, d, "products").select("url", "seq", "title", "description"), ["url"], ["seq"])
+    bad = states.corrupt(first, "seq", "url", "title", "description").withColumn("id", F.concat("url", F.col("seq").cast("string")))
+    bad = cut(bad)
+    found = states.detect(bad, "id", "url", "title", "description").select("url", F.explode("found").alias("label"))
+    return states.prf(bad.select("url", F.explode("labels").alias("label")), found)
+
+
+@query("repaired")
+def repaired(spark: SparkSession, d: str) -> DataFrame:
+    products = table(spark, d, "products").select("seq", "url", "title", "description")
+    bad = states.corrupt(products, "seq", "url", "title", "description").drop("labels")
+    return states.repair(ordering.global_rank(bad.drop("seq"), ["url", "title", "description"], "seq"), "seq", "url", "title", "description").select("url", "title")
+
+
+@query("strip_repeated")
+def strip_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return states.strip_repeated(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", 0.005)
+
+
+# ---- retrieval
+
+DOT = "list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+DENSE = f"""
+    s AS (SELECT q.vec_id AS query_id, d.vec_id, round({DOT}, 6) AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS hit_rank FROM s QUALIFY hit_rank <= 5)"""
+
+
+def _dense(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_top_k(e, queries, "vec_id", "query_id", "embedding", k)
+
+
+@query("dense_topk", f"WITH {DENSE} SELECT query_id, vec_id, score, hit_rank FROM k")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d)
+
+
+@query("dense_topk_threshold", f"WITH {DENSE} SELECT query_id, vec_id, score, hit_rank FROM k WHERE score >= 0.3")
+def dense_topk_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d).where("score >= 0.3")
+
+
+@query("abstentions", f"WITH {DENSE} SELECT DISTINCT s.query_id, s.query_id NOT IN (SELECT query_id FROM k WHERE score >= 0.35 AND vec_id <> query_id) AS abstained FROM s")
+def abstentions(spark: SparkSession, d: str) -> DataFrame:
+    queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    return retrieval.abstentions(queries, _dense(spark, d).where("score >= 0.35 and vec_id != query_id"), "query_id")
+
+
+@query("knn_label_precision", f"""
+    WITH {DENSE} SELECT k.query_id, round(avg((a.label = b.label)::INT), 6) AS label_precision
+    FROM k JOIN embeddings a ON a.vec_id = k.vec_id JOIN embeddings b ON b.vec_id = k.query_id GROUP BY k.query_id""")
+def knn_label_precision(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    hits = _dense(spark, d).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return hits.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("int")), 6).alias("label_precision"))
+
+
+@query("dense_prefilter_config", """
+    WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE d.label < 5)
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS hit_rank FROM s QUALIFY hit_rank <= 5""")
+def dense_prefilter_config(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration with a filter below the ranking."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.run_config(retrieval.CONFIGS["dense_budget"], e, queries, "vec_id", "query_id", "embedding", F.col("label") < 5).select("query_id", "vec_id", "score", "hit_rank")
+
+
+@query("bm25_topk", rf"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOK}') AS t FROM documents),
+    n AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_len FROM docs WHERE len(t) > 0),
+    p AS (SELECT doc_id, len(any_value(t)) AS doc_len, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM docs) GROUP BY doc_id, term),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    q AS (SELECT id AS query_id, unnest(list_distinct(regexp_extract_all(lower(question), '{TOK}'))) AS term FROM golden WHERE substr(id, 2)::BIGINT % 50 = 0),
+    s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))), 6) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS hit_rank FROM s QUALIFY hit_rank <= 10""")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "golden").select(F.col("id").alias("query_id"), "question").where(F.substring("query_id", 2, 20).cast("long") % 50 == 0)
+    scored = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), asked, "doc_id", "text", "query_id", "question")
+    return retrieval.top_k(scored.withColumn("score", F.round("score", 6)), "query_id", "score", "doc_id", 10)
+
+
+UNIQUE_HITS = "h AS (SELECT query_id, config, url, min(hit_rank) AS hit_rank FROM hits GROUP BY query_id, config, url)"
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "hits").groupBy("query_id", "config", "url").agg(F.min("hit_rank").alias("hit_rank"))
+
+
+@query("hybrid_rrf", f"""
+    WITH {UNIQUE_HITS}, s AS (SELECT query_id, url, round(sum(1.0::DOUBLE / (60 + hit_rank)), 9) AS score FROM h GROUP BY query_id, url)
+    SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS hit_rank FROM s QUALIFY hit_rank <= 5""")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.fuse([_hits(spark, d)], "query_id", "url", 5)
+
+
+@query("rerank", """
+    WITH h AS (SELECT query_id, url, config, min(hit_rank) AS old, max(coalesce(rerank_score, -1)) AS rerank_score FROM hits WHERE config = (SELECT min(config) FROM hits) GROUP BY query_id, config, url)
+    SELECT query_id, url, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old, url) AS hit_rank FROM h QUALIFY hit_rank <= 5""")
+def rerank(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits")
+    first = hits.agg(F.min("config").alias("config"))
+    own = hits.join(F.broadcast(first), "config", "left_semi").groupBy("query_id", "url").agg(F.min("hit_rank").alias("old"), F.max(F.coalesce("rerank_score", F.lit(-1.0))).alias("s"))
+    old = own.select("query_id", "url", "s", F.struct("old", "url").alias("hit_rank"))
+    return retrieval.rerank(old, "query_id", F.col("s"), 5).select("query_id", "url", "rerank_score", "hit_rank")
+
+
+# ---- evaluation
+
+EVAL = f"""
+    {UNIQUE_HITS},
+    g AS (SELECT id AS query_id, source, intent, answerable, list_distinct(coalesce(gold_urls, [])) AS gold FROM golden),
+    c AS (SELECT DISTINCT config FROM hits),
+    e AS (SELECT config, query_id, unnest(gold) AS url FROM g, c),
+    r AS (SELECT e.config, e.query_id, h.hit_rank AS r FROM e JOIN h ON e.config = h.config AND e.query_id = h.query_id AND e.url = h.url WHERE h.hit_rank <= 5),
+    m AS (SELECT config, query_id, count(*) AS n, min(r) AS f, sum(1 / log2(r + 1.0)) AS dcg FROM r GROUP BY config, query_id),
+    p AS (SELECT c.config, g.query_id, g.source, g.intent, g.answerable, len(gold) AS n_gold, coalesce(m.n / nullif(len(gold), 0), 0) AS recall_5, (coalesce(m.n, 0) > 0)::INT AS hit_5,
+        coalesce(1 / m.f, 0) AS mrr_5, coalesce(m.dcg / list_sum(list_transform(range(1, greatest(1, least(len(gold), 5)) + 1), lambda i: 1 / log2(i + 1.0))), 0) AS ndcg_5
+      FROM g CROSS JOIN c LEFT JOIN m ON m.config = c.config AND m.query_id = g.query_id)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each golden query under each configuration (of which there are few)."""
+    hits = _hits(spark, d).withColumn("key", F.concat_ws("/", "config", "query_id"))
+    configs = hits.groupBy("config").agg(F.lit(1).alias("one")).agg(F.collect_list("config").alias("c"))
+    golden = table(spark, d, "golden").join(F.broadcast(configs)).select(F.explode("c").alias("config"), F.col("id").alias("query_id"), "source", "intent", "answerable", "gold_urls")
+    golden = golden.withColumn("key", F.concat_ws("/", "config", "query_id"))
+    scores = evaluation.per_query(golden, hits, "key", "gold_urls", "url", (5,))
+    return golden.drop("gold_urls").join(scores, "key").drop("key")
+
+
+@query("eval_per_query", f"WITH {EVAL} SELECT config, query_id, n_gold, round(recall_5, 6) AS recall_5, hit_5, round(mrr_5, 6) AS mrr_5, round(ndcg_5, 6) AS ndcg_5 FROM p")
+def eval_per_query(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("config", "query_id", "n_gold", F.round("recall_5", 6).alias("recall_5"), "hit_5", F.round("mrr_5", 6).alias("mrr_5"), F.round("ndcg_5", 6).alias("ndcg_5"))
+
+
+@query("eval_means", f"""
+    WITH {EVAL} SELECT config, count(*) AS n, round(avg(recall_5), 4) AS recall_5, round(avg(hit_5), 4) AS hit_5, round(avg(mrr_5), 4) AS mrr_5, round(avg(ndcg_5), 4) AS ndcg_5
+    FROM p WHERE n_gold > 0 GROUP BY config""")
+def eval_means(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.means(_scored(spark, d), ["config"], (5,))
+
+
+@query("eval_slices", f"""
+    WITH {EVAL}, x AS (SELECT unnest([{{'dim': 'source', 'value': source}}, {{'dim': 'intent', 'value': intent}},
+        {{'dim': 'answerable', 'value': CASE answerable WHEN true THEN 'True' WHEN false THEN 'False' END}}]) AS s, * FROM p)
+    SELECT s.dim AS dim, coalesce(s.value, '') AS value, count(*) FILTER (n_gold > 0) AS n, round(avg(recall_5) FILTER (n_gold > 0), 4) AS recall_5, round(avg(mrr_5) FILTER (n_gold > 0), 4) AS mrr_5
+    FROM x GROUP BY ALL""")
+def eval_slices(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.slices(_scored(spark, d), ("source", "intent", "answerable"), ("recall_5", "mrr_5"))
+
+
+@query("abstention_scores", """
+    WITH o AS (SELECT coalesce(answerable, false) AS a, id NOT IN (SELECT query_id FROM hits WHERE score >= 0.6 AND query_id IS NOT NULL) AS s FROM golden),
+    t AS (SELECT count(*) FILTER (NOT a AND s) AS tp, count(*) FILTER (a AND s) AS fp, count(*) FILTER (NOT a) AS n FROM o),
+    r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(n, 0), 0) AS rec FROM t)
+    SELECT round(p, 4) AS precision, round(rec, 4) AS recall, round(coalesce(2 * p * rec / nullif(p + rec, 0), 0), 4) AS f1, n AS n_unanswerable, fp AS false_abstentions FROM r""")
+def abstention_scores(spark: SparkSession, d: str) -> DataFrame:
+    golden = table(spark, d, "golden").select(F.col("id").alias("query_id"), "answerable")
+    silent = retrieval.abstentions(golden, table(spark, d, "hits").where("score >= 0.6"), "query_id")
+    return evaluation.abstention_scores(golden.join(silent, "query_id"))
+
+
+@query("latency_percentiles", """
+    WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+    p AS (SELECT unnest([50.0, 95.0]) AS percent)
+    SELECT percent::DOUBLE AS percent, round(value, 6) AS value FROM p JOIN r ON i = least(n - 1, round_even(percent / 100 * (n - 1), 0))""")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.order_statistics(table(spark, d, "events").select("value"), "value", (50, 95))
+
+
+@query("missing_gold", "SELECT DISTINCT id AS query_id, url FROM (SELECT id, unnest(gold_urls) AS url FROM golden) WHERE url NOT IN (SELECT url FROM products WHERE coalesce(title, '') <> '')")
+def missing_gold(spark: SparkSession, d: str) -> DataFrame:
+    golden = table(spark, d, "golden").select(F.col("id").alias("query_id"), "gold_urls")
+    return evaluation.missing_gold(golden, table(spark, d, "products").where("coalesce(title, '') <> ''"), "query_id", "gold_urls", "url")
+
+
+@query("state_pivot", "SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS O, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS F FROM lineitem GROUP BY l_returnflag")
+def state_pivot(spark: SparkSession, d: str) -> DataFrame:
+    sums = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    return evaluation.pivot(sums, "l_returnflag", "l_linestatus", "q", ("O", "F"))
+
+
+@query("recovery_ratio", """
+    WITH s AS (SELECT load_no, avg(price_parse_rate) AS v FROM quality_corrupt GROUP BY load_no),
+    a AS (SELECT max(v) FILTER (load_no = 1) AS hi, max(v) FILTER (load_no = 2) AS lo, max(v) FILTER (load_no = 3) AS md FROM s)
+    SELECT round(CASE WHEN hi > lo THEN (md - lo) / (hi - lo) END, 6) AS recovery FROM a""")
+def recovery_ratio(spark: SparkSession, d: str) -> DataFrame:
+    rates = table(spark, d, "quality_corrupt").groupBy("load_no").agg(F.avg("price_parse_rate").alias("v"))
+    return evaluation.recovery(rates, "load_no", "v", 2, 1, 3).select(F.round("recovery", 6).alias("recovery"))
+
+
+# ---- evaluation sets
+
+SETS_SQL = r"""
+    s AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(strip_accents(lower(question)), '\s+'), lambda t: length(t) > 1))) AS t FROM golden),
+    c AS (SELECT t, min(id) AS first FROM s GROUP BY t)"""
+
+
+@query("near_dup_pairs", f"""
+    WITH {SETS_SQL}, p AS (SELECT a.first AS a, b.first AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM c a JOIN c b ON a.first < b.first)
+    SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i * 1000 >= (n - i) * 800""")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    own = evalset.token_sets(table(spark, d, "golden").select("id", "question"), "id", "question")
+    classes = cut(own.groupBy("set_id", "tokens").agg(F.min("id").alias("first")))
+    pairs = evalset.similar_sets(classes.select("set_id", "tokens"))
+    named = lambda x: classes.select(F.col("set_id").alias(x), F.col("first").alias(f"f{x}"))
+    return pairs.join(named("a"), "a").join(named("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "jaccard")
+
+
+@query("near_dup_keep")
+def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with its class and whether it is kept."""
+    return evalset.near_duplicates(table(spark, d, "golden").select("id", "question"), "id", "question")[0]
+
+
+@query("per_intent_cap", "SELECT id, intent FROM golden QUALIFY row_number() OVER (PARTITION BY intent ORDER BY id) <= 30")
+def per_intent_cap(spark: SparkSession, d: str) -> DataFrame:
+    return evalset.cap_per_group(table(spark, d, "golden").select("id", "intent"), "intent", ["id"], 30)
+
+
+@query("balanced_sample", """
+    WITH r AS (SELECT id, intent, row_number() OVER (PARTITION BY intent ORDER BY md5(concat_ws(':', '42', 'sample', id)), id) AS r FROM golden)
+    SELECT id, intent FROM r WHERE r <= CASE intent WHEN 'product_search' THEN 20 WHEN 'policy' THEN 10 WHEN 'attribute' THEN 10 ELSE 0 END""")
+def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
+    return evalset.balanced_sample(table(spark, d, "golden").select("id", "intent"), "intent", "id", {"product_search": 0.5, "policy": 0.25, "attribute": 0.25}, 40)
+
+
+@query("pool_first_wins", f"WITH {UNIQUE_HITS} SELECT query_id, url, config, hit_rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY config, hit_rank) = 1")
+def pool_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.keep_first(_hits(spark, d), ["query_id", "url"], ["config", "hit_rank"])
+
+
+@query("carry_over", "SELECT id, labelled_by, id IN (SELECT id FROM golden WHERE reviewed) AS carried FROM (SELECT id, CASE WHEN reviewed THEN labelled_by END AS labelled_by FROM golden)")
+def carry_over(spark: SparkSession, d: str) -> DataFrame:
+    golden = table(spark, d, "golden")
+    return evalset.carry_over(golden.select("id"), golden.where("reviewed").select("id", "labelled_by"), "id")
+
+
+@query("stable_ids", "SELECT id, 'q' || lpad(row_number() OVER (ORDER BY question, id)::VARCHAR, 8, '0') AS stable_id FROM golden")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return evalset.stable_ids(table(spark, d, "golden").select("id", "question"), ["question", "id"]).select("id", "stable_id")
+
+
+@query("leaks_title", rf"""
+    SELECT DISTINCT query_id, url FROM hits h JOIN golden g ON g.id = h.query_id,
+      (SELECT 1) WHERE len(list_filter(regexp_extract_all(lower(h.title), '{TOK}'), lambda t: length(t) > 2)) > 0
+      AND len(list_filter(list_filter(regexp_extract_all(lower(h.title), '{TOK}'), lambda t: length(t) > 2), lambda t: contains(lower(g.question), t)))
+        >= 0.5 * len(list_filter(regexp_extract_all(lower(h.title), '{TOK}'), lambda t: length(t) > 2))""")
+def leaks_title(spark: SparkSession, d: str) -> DataFrame:
+    golden = table(spark, d, "golden").select(F.col("id").alias("query_id"), "question")
+    return table(spark, d, "hits").join(golden, "query_id").where(evalset.leaks_title(F.col("question"), F.col("title"), 0.5)).select("query_id", "url").distinct()
+
+
+# ---- citations and context
+
+ANSWER = "coalesce(title, '') || ' [' || (hit_rank * 3)::VARCHAR || '] và [' || (hit_rank % 5 + 1)::VARCHAR || ']'"
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits").select("query_id", "config", "url", "hit_rank", "title").distinct()
+    mark = lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))
+    return hits.withColumn("answer", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), mark(F.col("hit_rank") * 3), F.lit(" và "), mark(F.col("hit_rank") % 5 + 1))).withColumn("n_context", F.lit(5))
+
+
+@query("citation_report", rf"""
+    WITH a AS (SELECT DISTINCT query_id, config, url, hit_rank, title, {ANSWER} AS answer FROM hits),
+    m AS (SELECT *, list_transform(regexp_extract_all(answer, '\[(\d{{1,2}})\]', 1), lambda x: x::INT) AS k FROM a)
+    SELECT query_id, config, url, hit_rank, title, list_sort(list_distinct(list_filter(k, lambda x: x BETWEEN 1 AND 5))) AS cited, list_sort(list_distinct(list_filter(k, lambda x: x NOT BETWEEN 1 AND 5))) AS invalid,
+      list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(k, x)) AS unused FROM m""")
+def citation_report(spark: SparkSession, d: str) -> DataFrame:
+    return citations.report(_answers(spark, d), "answer", "n_context").select("query_id", "config", "url", "hit_rank", "title", "cited", "invalid", "unused")
+
+
+@query("citation_rates")
+def citation_rates(spark: SparkSession, d: str) -> DataFrame:
+    return citations.rates(citations.report(_answers(spark, d), "answer", "n_context"), "n_context")
+
+
+@query("strip_invalid", rf"""
+    WITH a AS (SELECT DISTINCT query_id, config, url, hit_rank, title, {ANSWER} AS answer FROM hits)
+    SELECT query_id, config, url, hit_rank, title, CASE WHEN hit_rank * 3 > 5 THEN replace(answer, '[' || (hit_rank * 3)::VARCHAR || ']', '') ELSE answer END AS answer FROM a""")
+def strip_invalid(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).withColumn("answer", citations.strip_invalid("answer", F.lit(5))).drop("n_context")
+
+
+@query("context_format", """
+    WITH u AS (SELECT query_id, config, hit_rank, min(coalesce(title, '')) AS title FROM hits GROUP BY query_id, config, hit_rank)
+    SELECT query_id || '/' || config AS key, string_agg('[' || hit_rank || '] ' || left(title, 300), chr(10) ORDER BY hit_rank) AS context FROM u WHERE hit_rank <= 5 GROUP BY query_id, config""")
+def context_format(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits").groupBy("query_id", "config", "hit_rank").agg(F.min(F.coalesce("title", F.lit(""))).alias("title"))
+    return citations.context(hits.withColumn("key", F.concat_ws("/", "query_id", "config")), "key", "hit_rank", "title", 5)
+
+
+@query("history_last_4", """
+    WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS turns FROM documents WHERE kind = 'chat' AND text <> ''),
+    x AS (SELECT doc_id, turns, unnest(range(1, len(turns) + 1)) AS turn FROM t)
+    SELECT doc_id, turn, array_to_string(turns[greatest(1, turn - 4):turn - 1], chr(10)) AS history FROM x""")
+def history_last_4(spark: SparkSession, d: str) -> DataFrame:
+    chats = table(spark, d, "documents").where("kind = 'chat' and text <> ''").select("doc_id", F.split("text", "\n").alias("turns"))
+    rows = chats.select("doc_id", "turns", F.explode(F.sequence(F.lit(1), F.size("turns"))).alias("turn"))
+    return rows.select("doc_id", F.col("turn").cast("long").alias("turn"), F.array_join(citations.history(F.col("turns"), F.col("turn")), "\n").alias("history"))
+
+
+# ---- sinks and streams, as batches
+
+@query("upsert_latest", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.keep_last(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+
+
+@query("windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.windowed_counts(table(spark, d, "events").select("ts", "event_type"), "ts", "event_type")
+
+
+@query("index_urls", "SELECT DISTINCT url FROM products WHERE url <> ''")
+def index_urls(spark: SparkSession, d: str) -> DataFrame:
+    return files.column_values(table(spark, d, "products"), "url")
+
+
+@query("validated_products", rf"""
+    WITH s AS (SELECT seq, trim(regexp_replace(nfc_normalize(coalesce(title, '')), '{SPACES}', ' ', 'g')) AS t FROM products)
+    SELECT seq, CASE WHEN lower(t) IN ('nan', 'none', 'null', '<na>') THEN '' ELSE t END AS title FROM s""")
+def validated_products(spark: SparkSession, d: str) -> DataFrame:
+    return files.validate(table(spark, d, "products")).select("seq", "title")
