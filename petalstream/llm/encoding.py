@@ -200,13 +200,13 @@ class Searcher:
         """(surely meant text, likely meant text, [(pages, gain)]): what can be made of a segment by UTF-8 repairs and by exchanged pages.
 
         Best first: the cheapest open text is expanded next; texts already seen (by hash) are not opened again, nor are texts dearer than
-        the segment itself. Shorter alone is no gain: on average the new trigrams must not be rarer than the old ones, for a sure case
-        they must be more common.
+        the segment itself. Shorter alone is no gain: of the texts reached, that of the most common trigrams on average is taken, which must
+        not be rarer than the old ones, and in a sure case more common.
         """
         start, n, worst = self.cost(segment)
         heap, visited = [(start, segment)], {hash(segment)}
         sure = likely = None
-        gain = self.least
+        mean = start / max(1, n) + 1
         while heap:
             _, text = heapq.heappop(heap)
             for new in self.steps(text):
@@ -219,9 +219,9 @@ class Searcher:
                 heapq.heappush(heap, (c, new))
                 if "&" in segment and new == html.unescape(segment):
                     continue  # escapes alone are no wrong encoding
-                if start - c > gain and (not k or c / k <= start / n + 1):
-                    gain, likely = start - c, new
-                    sure = new if not k or c / k <= start / n - 1 else None
+                if start - c > self.least and c / max(1, k) <= mean:
+                    mean, likely = c / max(1, k), new
+                    sure = new if mean <= start / n - 1 else None
         pages = []
         odd = {ch for ch in segment if ch > "\x7f"}
         if sure is None and worst > self.common and odd and not odd <= COMMON_MARKS:
