@@ -104,4 +104,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
 }
 
+#: SQL for the queries that it can express; the others are held against brute force, public tokenizers and round trips in the tests.
 ORACLES: dict[str, str] = {}
+
+
+SPACE_SQL = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+
+
+def _fold(x: str) -> str:
+    return f"nfc_normalize(replace(translate(lower(coalesce({x}, '')), 'ςſ', 'σs'), 'ß', 'ss'))"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '[{SPACE_SQL}\\p{{P}}]+', '', 'g')"
+
+
+def _member(name: str) -> str:
+    """The value of a JSON member by its name in any case."""
+    found = f"list_filter(json_keys(payload), lambda k: lower(k) = '{name}')[1]"
+    return f"json_extract_string(payload, '$.\"' || {found} || '\"') AS {name}"
+
+
+ORACLES["p2_found"] = f"""
+    WITH ok AS (SELECT raw_id, payload FROM raw_records WHERE payload IS NOT NULL AND json_valid(payload)),
+    obj AS (SELECT * FROM ok WHERE json_type(payload) = 'OBJECT'),
+    r AS (
+      SELECT 'products' AS origin, seq AS id, url, title, price_raw, description, promo, image FROM products
+      UNION ALL SELECT 'raw_records', raw_id, {', '.join(_member(m) for m in duplicates.MEMBERS)} FROM obj),
+    f AS (SELECT origin, id, {', '.join(f'{_bare(_fold(c))} AS {c}' for c in RECORD)}, string_split({_fold('url')}, '#') AS u FROM r),
+    k AS (
+      SELECT *, {_bare("string_split(u[1], '?')[1]")} AS path, {_bare("coalesce(array_to_string(u[2:], '#'), '')")} AS fragment,
+        list_sort(list_filter(list_transform(string_split(coalesce(array_to_string(string_split(u[1], '?')[2:], '?'), ''), '&'), lambda p: {_bare('p')}), lambda p: p <> '')) AS params FROM f),
+    g AS (SELECT origin, id, min(id) OVER (PARTITION BY origin, path, params, fragment, {', '.join(RECORD)}) AS first_id FROM k)
+    SELECT origin, first_id, id AS copy_id FROM g WHERE id > first_id"""
+
+ORACLES["p3_found"] = f"""
+    WITH v AS (SELECT seq, shop, 'description' AS field, description AS value FROM products UNION ALL SELECT seq, shop, 'promo', promo FROM products),
+    l AS (SELECT seq, shop, field, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) AS line_no FROM v WHERE value IS NOT NULL),
+    b AS (SELECT seq, shop, field, line_no, {_bare(_fold('line'))} AS line FROM l),
+    n AS (SELECT coalesce(shop, chr(0)) AS shop, count(*) AS n FROM products GROUP BY 1),
+    c AS (SELECT coalesce(shop, chr(0)) AS shop, line, count(DISTINCT seq) AS k FROM b WHERE regexp_matches(line, '\\p{{L}}') GROUP BY 1, 2),
+    s AS (SELECT c.shop, line FROM c JOIN n USING (shop) WHERE k >= 5 AND k * 20 >= n)
+    SELECT seq, field, line_no FROM b JOIN s ON coalesce(b.shop, chr(0)) = s.shop AND b.line = s.line"""
+
+ORACLES["p2_collapsed"] = f"""
+    WITH f AS (SELECT seq, {', '.join(f'{_bare(_fold(c))} AS {c}' for c in RECORD)}, string_split({_fold('url')}, '#') AS u FROM products),
+    k AS (
+      SELECT *, {_bare("string_split(u[1], '?')[1]")} AS path, {_bare("coalesce(array_to_string(u[2:], '#'), '')")} AS fragment,
+        list_sort(list_filter(list_transform(string_split(coalesce(array_to_string(string_split(u[1], '?')[2:], '?'), ''), '&'), lambda p: {_bare('p')}), lambda p: p <> '')) AS params FROM f)
+    SELECT min(seq) AS seq, count(*) AS n_copies FROM k GROUP BY path, params, fragment, {', '.join(RECORD)}"""
