@@ -12,7 +12,7 @@ from petalstream.functions import text as T
 from petalstream.operators import citations, evaluation, evalset, ordering, profile, quality, retrieval, states
 from petalstream.plans.session import cut
 from petalstream.sources import files
-from petalstream.sources.tables import table
+from petalstream.sources.tables import spread, table
 from petalstream.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ HASH_CONTRACT = "[0-9a-f]{16}"
 
 
 def _profiled(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    products = table(spark, d, "products").select("load_id", "price_vnd", *TEXTS)
+    products = spread(table(spark, d, "products").select("load_id", "price_vnd", *TEXTS))
     return profile.profile(products, "load_id", TEXTS, ("price_vnd",), {"content_hash": HASH_CONTRACT})
 
 
