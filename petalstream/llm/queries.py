@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from petalstream.llm import duplicates, encoding, packing, repeated_lines, sentences, tokenize, truncation
 from petalstream.plans.session import cut
-from petalstream.sources.tables import table
+from petalstream.sources.tables import spread, table
 
 RECORD = ("title", "price_raw", "description", "promo", "image")
 PROMOTED = ("description", "promo")
@@ -17,8 +17,8 @@ PROMOTED = ("description", "promo")
 
 def _record_keys(spark: SparkSession, d: str) -> DataFrame:
     """(origin, id, key) of the records of both tables."""
-    products = table(spark, d, "products").select(F.lit("products").alias("origin"), F.col("seq").alias("id"), "url", *RECORD)
-    raw = table(spark, d, "raw_records").select(F.lit("raw_records").alias("origin"), F.col("raw_id").alias("id"), "payload")
+    products = spread(table(spark, d, "products").select("seq", "url", *RECORD)).select(F.lit("products").alias("origin"), F.col("seq").alias("id"), "url", *RECORD)
+    raw = spread(table(spark, d, "raw_records").select("raw_id", "payload")).select(F.lit("raw_records").alias("origin"), F.col("raw_id").alias("id"), "payload")
     raw = duplicates.payload_members(raw, "payload")
     rows = products.unionByName(raw.select("origin", "id", "url", *RECORD))
     return duplicates.with_key(rows, "url", RECORD)
@@ -37,57 +37,57 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """One row for each distinct record of `products` with its number of copies."""
-    rows = duplicates.with_key(table(spark, d, "products").select("seq", "url", *RECORD), "url", RECORD)
+    rows = duplicates.with_key(spread(table(spark, d, "products").select("seq", "url", *RECORD)), "url", RECORD)
     return duplicates.collapse(rows, "key", "seq").select(F.col("id").alias("seq"), "n_copies")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    products = table(spark, d, "products").select("seq", "shop", *PROMOTED)
+    products = spread(table(spark, d, "products").select("seq", "shop", *PROMOTED))
     confirmed = repeated_lines.repeated_lines(products, "shop", PROMOTED)
     return repeated_lines.find_lines(products, confirmed, "shop", PROMOTED, "seq")
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """`products` with the repeated lines taken out of both fields."""
-    products = table(spark, d, "products").select("seq", "shop", *PROMOTED)
+    products = spread(table(spark, d, "products").select("seq", "shop", *PROMOTED))
     confirmed = repeated_lines.repeated_lines(products, "shop", PROMOTED)
     return repeated_lines.remove_lines(products, confirmed, "shop", PROMOTED)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    products = table(spark, d, "products").select("seq", "shop", "description")
+    products = spread(table(spark, d, "products").select("seq", "shop", "description"))
     return truncation.truncated(products, "description", "seq", "shop").where("is_cut").select("seq")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """How many descriptions of each shop were cut."""
-    products = table(spark, d, "products").select("seq", "shop", "description")
+    products = spread(table(spark, d, "products").select("seq", "shop", "description"))
     return truncation.truncation_rates(truncation.truncated(products, "description", "seq", "shop"), "shop")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    products = table(spark, d, "products").select("seq", "title", "description")
+    products = spread(table(spark, d, "products").select("seq", "title", "description"))
     return encoding.garbled(products, ("title", "description"), "seq").select("seq", "field")
 
 
 def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled values with what could be restored of them."""
-    products = table(spark, d, "products").select("seq", "title", "description")
+    products = spread(table(spark, d, "products").select("seq", "title", "description"))
     return encoding.garbled(products, ("title", "description"), "seq")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.token_ids(table(spark, d, "documents"), "text", "doc_id")
+    return tokenize.token_ids(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of 2,048 tokens of each document, or of each piece of one that is longer."""
-    sizes = cut(tokenize.token_counts(table(spark, d, "documents"), "text", "doc_id"))
+    sizes = cut(tokenize.token_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id"))
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(table(spark, d, "documents"), "text", "doc_id")
+    return sentences.sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -16,6 +16,8 @@ STOPS = ".!?…"
 CLOSERS = "\"'”’»›)]}」』）】》〉"
 OPENERS = "\"'“‘„‚«‹([{「『（【《〈¿¡"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’", "‚": "‘’", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
+OPENING = re.compile(f"[{re.escape(''.join(PAIRS))}]").finditer
+CLOSING = {k: re.compile(f"[{re.escape(v)}]").finditer for k, v in PAIRS.items()}
 LINE_END = re.compile(r"[\n\r\x0b\x0c\x85  ]+")
 LIST_MARK = re.compile(r"\s*(?:\d{1,3}[.)．、]|[^\W\d_][.)]|[-*•·–—‣▪])(?=\s)")
 LABEL = re.compile(r"\s*[^\W\d_][^\s.:：!?]{0,19}(?:\s[^\s.:：!?]{1,19}){0,2}\s?[:：]\s")
@@ -115,6 +117,7 @@ class Splitter:
 
     def split(self, text: str) -> list[tuple[int, int]]:
         self.own: Counter | None = None
+        self.continued: dict[str, bool] = {}
         self.text = text
         out: list[tuple[int, int]] = []
         at = 0
@@ -145,7 +148,23 @@ class Splitter:
             return True
         if w in self.abbreviations or ("." in w and w.replace(".", "").replace("-", "").isalpha() and len(w) <= 8):
             return True
-        return bool(w) and self._seen()["low", w, ""] > 0
+        return bool(w) and self._goes_on(w)
+
+    def _goes_on(self, w: str) -> bool:
+        """Whether the document has the token with a full stop before a small letter or a pause."""
+        known = self.continued.get(w)
+        if known is None:
+            text, mark, known = self.text, w + ".", False
+            at = text.find(mark)
+            while at >= 0 and not known:
+                end = at + len(mark)
+                if not at or not text[at - 1].isalnum():
+                    nxt = text[end : end + 3]
+                    bare = nxt.lstrip(" \xa0")
+                    known = bool(nxt) and (nxt[0] in ",;:" or (len(bare) < len(nxt) and bare[:1].islower()))
+                at = text.find(mark, end)
+            self.continued[w] = known
+        return known
 
     def _line(self, line: str, base: int) -> list[tuple[int, int]]:
         m = LIST_MARK.match(line)
@@ -172,19 +191,17 @@ class Splitter:
 
     def _hidden(self, line: str) -> list[tuple[int, int]]:
         """Stretches inside quotes and brackets that close in the same line."""
-        out, i, n = [], 0, len(line)
-        while i < n:
-            closing = PAIRS.get(line[i])
-            if closing and (line[i] not in "‘\"" or i == 0 or not line[i - 1].isalnum()):
-                j = i + 1
-                while j < n:
-                    if line[j] in closing and (line[j] not in "’‘" or j + 1 == n or not line[j + 1].isalnum()):
-                        break
-                    j += 1
-                if j < n:
+        out, n, done = [], len(line), 0
+        for m in OPENING(line):
+            i = m.start()
+            if i < done or (line[i] in "‘\"" and i and line[i - 1].isalnum()):
+                continue
+            for c in CLOSING[line[i]](line, i + 1):
+                j = c.start()
+                if line[j] not in "’‘" or j + 1 == n or not line[j + 1].isalnum():
                     out.append((i, j))
-                    i = j
-            i += 1
+                    done = j + 1
+                    break
         return out
 
     def _stops(self, line: str, first: int) -> Iterator[int]:
