@@ -117,7 +117,7 @@ def trigram_counts(df: DataFrame, fields: Sequence[str]) -> np.ndarray:
 class Searcher:
     """Looks for the cheapest text reachable from a segment (a stretch without white space)."""
 
-    def __init__(self, counts: np.ndarray, least: float = 8.0, least_pages: float = 14.0, common: float = 2e-5):
+    def __init__(self, counts: np.ndarray, least: float = 8.0, least_pages: float = 9.0, common: float = 2e-5):
         self.total = max(1, int(counts.sum()))
         self.price = (math.log(self.total + 1) - np.log(counts + 0.3)).tolist()
         self.common = math.log(self.total + 1) - math.log(max(3.0, self.total * common))
@@ -227,8 +227,9 @@ class Searcher:
         if sure is None and worst > self.common and odd and not odd <= COMMON_MARKS:
             for repertoire, change, name in self.pairs:
                 if odd <= repertoire:
-                    c = self.cost(segment.translate(change))[0]
-                    if c < start:
+                    new = segment.translate(change)
+                    c = self.cost(new)[0]
+                    if c < start and new.lower() != segment.lower():
                         pages.append((name, start - c))
         return sure, likely, pages
 
@@ -273,7 +274,7 @@ class Searcher:
                 gains = {s: self.cost(s)[0] - self.cost(s.translate(change))[0] for s in {*others} - found.keys()}
                 # what the exchange would spoil speaks against it, unless a long stretch speaks for it
                 net = sum(g for s, g in gains.items() if g > 0 or {ch for ch in s if ch > "\x7f"} <= repertoire)
-                if net > 0 or sums[name] >= 3 * self.least_pages:
+                if net > 0 or sums[name] >= 5 * self.least_pages:
                     found |= {s: s.translate(change) for s, g in gains.items() if g > 0}
         if not found:
             return value if LOST.search(value) else None
