@@ -50,6 +50,7 @@ def bare(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"[{SPACE}\p{{P}}]+", "")
 
 
+# The words that stand for null.
 NULL_WORDS = ("nan", "none", "null", "<na>")
 
 
@@ -104,6 +105,7 @@ def misdecode(c: Column | str) -> Column:
 
 def looks_misdecoded(c: Column | str) -> Column:
     """Holds a pair of characters typical of UTF-8 read as a Western code page."""
+    # The pairs.
     return F.coalesce(col(c), F.lit("")).rlike("Ã[\\x{80}-\\x{BF}]|á»|áº|Æ°|Ä‘|â€")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from petalstream.functions.text import col
 
+# A citation mark, and what makes a sentence a claim.
 MARK = r"\[(\d{1,2})\]"
 #: By default a claim is an amount of money or a code; another domain passes its own expression.
 CLAIM = r"(?iu)\d[\d.,]{2,}\s*(?:₫|đ(?![\p{L}\p{N}_])|vnd|k(?![\p{L}\p{N}_])|nghìn|triệu)|(?<![\p{L}\p{N}_])M\d{1,4}(?![\p{L}\p{N}_])"

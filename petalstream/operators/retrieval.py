@@ -126,6 +126,7 @@ class RetrievalConfig:
             raise ValueError("fused scores are no similarities: no threshold")
 
 
+# The configurations by name.
 CONFIGS = {
     c.name: c
     for c in (

@@ -11,6 +11,7 @@ from petalstream.functions import text as T
 from petalstream.operators import quality
 from petalstream.operators.ordering import greedy_distinct
 
+# The names of the kinds of damage.
 LABELS = ("missing_field", "boilerplate_flood", "truncation", "mojibake", "duplication", "non_product_page")
 
 
