@@ -9,11 +9,16 @@ from petalstream.functions.text import compose
 from petalstream.plans.session import cut
 
 #: Marks that may be left where a text was cut.
-CUT_MARK = r"(?:\s*(?:\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.))\s*$"
+CUT_MARK = r"(?:\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)\s*$"
 #: Words (letters with marks), numbers, single characters of scripts without spaces, stops and pauses, closing brackets, line ends. Quotes, list
 #: marks and symbols are no tokens.
 SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}ー"
-TOKEN = rf"[\p{{L}}\p{{M}}&&[^{SINGLE}]]+|\p{{N}}+(?:[.,:]\p{{N}}+)*|[{SINGLE}]|[.!?。！？…,;:、，：；₫)）]|\n"
+# the common letters stand first in the class, for they are told by ranges
+TOKEN = rf"[a-zà-öø-ɏ\u0300-\u036f\u0400-\u0481\u1e00-\u1eff[\p{{L}}\p{{M}}&&[^{SINGLE}]]]+|\p{{N}}+(?:[.,:]\p{{N}}+)*|[{SINGLE}]|[.!?。！？…,;:、，：；₫)）]|\n"
+#: A text up to its last character of a token, found from the end.
+UP_TO_TOKEN = r"^(?s:.*)[\p{L}\p{M}\p{N}.!?。！？…,;:、，：；₫)）]"
+#: Characters that don't tell one text from another.
+IGNORED = " \t\r\n\xa0.,;:!?…-–—|/*\"'“”‘’«»()[]"
 # In the spaced form of a text: starts of lines, ends of lines, the text's end. None of them is a token.
 START, LINE, END = "^ ^", "$", "@"
 #: Each trigram whose last word is not the text's last, with " $" where a line ends after it; overlapping, by a match of no width.
@@ -48,15 +53,18 @@ def truncated(
     Null, empty and blank texts are not cut. An empty table gives no rows. Rows keep their number: equal keys or texts stay apart.
     """
     base = df.select(F.col(key), F.col(source), compose(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    form = spaced(F.regexp_replace("t", CUT_MARK, ""))
-    # a generator of one element keeps the optimizer from working the form out anew for each use
-    own = base.select(key, source, F.col("t").rlike(CUT_MARK).alias("marked"), F.explode(F.array(form)).alias("form"))
-    rows = own.select(key, source, "marked", F.xxhash64("form").alias("whole"), F.split(F.substring_index("form", " ", -4), " ").alias("w"))
+    # the last trigram needs the last line with a token only; equal texts are told by their letters and digits
+    ended = base.select(key, source, F.explode(F.array(F.struct(F.col("t").rlike(CUT_MARK).alias("marked"), F.col("t").alias("t")))).alias("x")).select(key, source, "x.*")
+    ended = ended.select(key, source, "marked", F.regexp_extract(F.when(F.col("marked"), F.regexp_replace("t", CUT_MARK, "")).otherwise(F.col("t")), UP_TO_TOKEN, 0).alias("t"))
+    last = spaced(F.substring_index("t", "\n", -1))
+    # a generator of one element keeps the optimizer from working an expression out anew for each use
+    rows = ended.select(key, source, "marked", F.xxhash64(F.translate(F.lower("t"), IGNORED, "")).alias("whole"), F.explode(F.array(F.split(F.substring_index(last, " ", -4), " "))).alias("w"))
     word = lambda i, name: F.get("w", F.lit(i)).alias(name)
     some = F.size("w") > 3
     rows = cut(rows.select(key, source, "whole", (F.col("marked") & some).alias("marked"), *[F.when(some, word(i, x)).alias(x) for i, x in enumerate("abc")]))
 
-    inside = own.select(F.explode(F.regexp_extract_all("form", F.lit(INSIDE), F.lit(1))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    whole = base.select(spaced(F.regexp_replace("t", CUT_MARK, "")).alias("form"))
+    inside = whole.select(F.explode(F.regexp_extract_all("form", F.lit(INSIDE), F.lit(1))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     inside = inside.select(F.split("g", " ").alias("w"), "n")
     at_end = F.size("w") > 3
     inside = inside.select(word(0, "a"), word(1, "b"), word(2, "c"), F.when(at_end, 0).otherwise(F.col("n")).alias("i"), F.when(at_end, F.col("n")).otherwise(0).alias("t"))
