@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petalstream.plans.session import written
+
 # Terminators that always count, those that need a look at what follows, brackets and quotes.
 FULL_STOPS = "。！？｡।॥؟۔።։။។"
 STOPS = ".!?…"
@@ -94,19 +96,46 @@ def corpus_evidence(df: DataFrame, text: str) -> DataFrame:
     return seen.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def _tables(seen: DataFrame, floor: float) -> tuple[dict, dict]:
-    """How words stand (starting, inside, after a number), and the abbreviations: tokens whose full stop at least once in four times
-    comes before small letters, a pause, a number or a name. What has under `floor` of all counts is left out: at most 1 / floor rows."""
-    least = (seen.agg(F.sum("n")).first()[0] or 0) * floor
+def _tables(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, s, m, d): how words stand (starting, inside, after a number), and (a, against): the abbreviations, tokens whose full stop at least
+    once in four times comes before small letters, a pause, a number or a name. What was seen less than 3 times is no evidence."""
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
     words = seen.where("kind in ('S', 'M', 'D')").groupBy("a").agg(of("S").alias("s"), of("M").alias("m"), of("D").alias("d"))
     caps = seen.where("kind = 'cap'").select(F.col("a").alias("w"), F.col("b"), "n").join(words.withColumnRenamed("a", "b"), "b", "left")
     caps = caps.select(F.col("w").alias("a"), F.when(F.coalesce(F.col("s") > F.col("m"), F.lit(False)), "end").otherwise("name").alias("kind"), "n")
     tokens = seen.where("kind in ('end', 'low', 'num')").select("a", "kind", "n").unionByName(caps)
-    tokens = tokens.groupBy("a").agg((of("low") + of("num") + of("name")).alias("against"), of("end").alias("with"), of("low").alias("low"))
-    words = words.where((F.col("s") + F.col("m") + F.col("d") >= 3) & (F.col("s") + F.col("m") + F.col("d") >= least))
-    abbreviations = tokens.where((F.col("against") >= 3) & (F.col("against") >= least) & (F.col("against") * 4 >= F.col("against") + F.col("with")))
-    return {r.a: (r.s, r.m, r.d) for r in words.collect()}, {r.a: True for r in abbreviations.select("a").collect()}
+    tokens = tokens.groupBy("a").agg((of("low") + of("num") + of("name")).alias("against"), of("end").alias("with"))
+    words = words.where(F.col("s") + F.col("m") + F.col("d") >= 3)
+    return words, tokens.where((F.col("against") >= 3) & (F.col("against") * 4 >= F.col("against") + F.col("with"))).select("a", "against")
+
+
+def _own_evidence(docs: DataFrame, words: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """(k, t, words, abbreviations): each text with those entries of the tables that splitting it can ask for, joined by shuffle.
+
+    Entries go to texts by a hash of the text; were two texts to share it, each would get true entries that it doesn't ask for.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asker = Asker()
+        for b in batches:
+            hs, kinds, tokens = [], [], []
+            for h, t in zip(b["h"], b["t"]):
+                for is_word, token in asker.asked(t):
+                    hs.append(h)
+                    kinds.append(is_word)
+                    tokens.append(token)
+            yield pd.DataFrame({"h": hs, "is_word": kinds, "a": tokens})
+
+    none = F.lit(0).cast("long")
+    entries = words.select(F.lit(True).alias("is_word"), "a", "s", "m", "d").unionByName(
+        abbreviations.select(F.lit(False).alias("is_word"), "a", none.alias("s"), none.alias("m"), none.alias("d"))
+    )
+    hashed = docs.withColumn("h", F.xxhash64("t"))
+    asked = hashed.select("h", "t").mapInPandas(ask, "h long, is_word boolean, a string").distinct()
+    found = asked.join(entries.hint("shuffle_merge"), ["is_word", "a"]).groupBy("h").agg(
+        F.collect_list(F.when(F.col("is_word"), F.struct("a", "s", "m", "d"))).alias("words"), F.collect_list(F.when(~F.col("is_word"), F.col("a"))).alias("abbreviations")
+    )
+    return hashed.join(found.hint("shuffle_merge"), "h", "left").select("k", "t", "words", "abbreviations")
 
 
 class Splitter:
@@ -114,6 +143,14 @@ class Splitter:
 
     def __init__(self, words: dict | None = None, abbreviations: dict | None = None):
         self.words, self.abbreviations = words or {}, abbreviations or {}
+        self.shared_words, self.shared_abbreviations = self.words, self.abbreviations
+
+    def joined(self, words, abbreviations) -> None:
+        """Adds the entries that were joined to the next text to those that all texts share."""
+        more = {r["a"]: (r["s"], r["m"], r["d"]) for r in words} if words is not None else {}
+        also = dict.fromkeys(abbreviations, True) if abbreviations is not None else {}
+        self.words = ChainMap(more, self.shared_words) if more else self.shared_words
+        self.abbreviations = ChainMap(also, self.shared_abbreviations) if also else self.shared_abbreviations
 
     def split(self, text: str) -> list[tuple[int, int]]:
         self.own: Counter | None = None
@@ -251,7 +288,11 @@ class Splitter:
             start -= 1
         w = _before(line[start : m.start()])
         word = WORD.match(line, nxt)
-        word = word[0] if word else ""
+        return self._full_stop(line, m, start, end, w, word[0] if word else "", c, spaced)
+
+    def _full_stop(self, line: str, m: re.Match, start: int, end: int, w: str, word: str, c: str, spaced: bool) -> bool:
+        """Whether a single full stop between a token and a word ends a sentence; the only place that asks the corpus."""
+        cased = c.isupper()
         if not spaced:
             if end == m.end() and not cased:
                 return False
@@ -269,23 +310,48 @@ class Splitter:
         return True
 
 
+class Asker(Splitter):
+    """Goes through a text as the splitter does and notes what it may ask the corpus for; which stops are ends has no bearing on the others."""
+
+    def asked(self, text: str) -> set[tuple[bool, str]]:
+        """(is a word, else an abbreviation; token)"""
+        self.noted: set[tuple[bool, str]] = set()
+        self.split(text)
+        return self.noted
+
+    def _full_stop(self, line: str, m: re.Match, start: int, end: int, w: str, word: str, c: str, spaced: bool) -> bool:
+        self.noted |= {(False, w), (True, word)}
+        return True
+
+
 def sentences(df: DataFrame, text: str, key: str, floor: float = 1e-6) -> DataFrame:
     """(key, sent_start, sent_end): one row per sentence, in code points from 0, end exclusive, without white space at the ends.
 
     The sentences cover all but white space. A line end ends a sentence; list marks and labels go with what they open; quoted speech
     inside a sentence doesn't split it. A full stop after an abbreviation or a number ends a sentence only before a word that starts
     sentences elsewhere. Abbreviations, sentence starters and names are told by unambiguous occurrences in the document, else in the
-    corpus: counts over all texts, of which what makes up under `floor` of them is left out, so at most 1 / floor entries reach the
-    executors. Null, empty and blank texts give no rows; equal texts count for each key.
+    corpus: counts over all texts, at least 3 of them at any size. What makes up at least `floor` of all counts, at most 1 / floor
+    entries, is broadcast; the rest, if there is any, is joined to the texts that ask for it. Null, empty and blank texts give no rows;
+    equal texts count for each key.
     """
-    words, abbreviations = _tables(corpus_evidence(df, text), floor)
-    shared = df.sparkSession.sparkContext.broadcast((words, abbreviations))
+    seen = written(corpus_evidence(df, text))
+    words, abbreviations = _tables(seen)
+    least = (seen.agg(F.sum("n")).first()[0] or 0) * floor
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and t != ''")
+    often, named = F.col("s") + F.col("m") + F.col("d") >= least, F.col("against") >= least
+    shared = df.sparkSession.sparkContext.broadcast(
+        ({r.a: (r.s, r.m, r.d) for r in words.where(often).collect()}, {r.a: True for r in abbreviations.where(named).select("a").collect()})
+    )
+    if least > 3:  # else all is broadcast
+        docs = _own_evidence(docs, words.where(~often), abbreviations.where(~named))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(*shared.value)
         for b in batches:
             keys, starts, ends = [], [], []
-            for k, t in zip(b["k"], b["t"]):
+            none = [None] * len(b)
+            for k, t, w, a in zip(b["k"], b["t"], b.get("words", none), b.get("abbreviations", none)):
+                splitter.joined(w, a)
                 for s, e in splitter.split(t):
                     keys.append(k)
                     starts.append(s)
@@ -293,4 +359,4 @@ def sentences(df: DataFrame, text: str, key: str, floor: float = 1e-6) -> DataFr
             yield pd.DataFrame({key: keys, "sent_start": starts, "sent_end": ends})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and t != ''").mapInPandas(run, f"`{key}` {kind}, sent_start long, sent_end long")
+    return docs.mapInPandas(run, f"`{key}` {kind}, sent_start long, sent_end long")

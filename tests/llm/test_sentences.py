@@ -50,3 +50,14 @@ def test_operator(spark):
     got = S.sentences(df, "text", "doc_id").collect()
     assert len(got) == 20 and {r.doc_id for r in got} == {0, 1, 2, 3, 4}
     assert S.sentences(df.limit(0), "text", "doc_id").count() == 0
+
+
+def test_rare_evidence_counts_at_any_size(spark):
+    docs = ["Gặp xyz. Hạ Thư nói."] + ["Nhờ xyz, nay xyz. và hoa."] * 3 + ["Mỗi bó, gặp Hạ Thư.\nMỗi giỏ gồm lan."] * 4 + ["Kho abc. Mỗi giỏ gồm lan."] * 40
+    rows = [(i // 2, t) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda floor: sorted(map(tuple, S.sentences(df, "text", "doc_id", floor).collect()))
+    whole = spans(0.0)
+    assert (0, 0, len(docs[0])) in whole
+    for floor in (0.02, 0.2, 1.0):
+        assert spans(floor) == whole
