@@ -38,7 +38,7 @@ SEQUENCE = re.compile(
     "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 )
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
-ESCAPE = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+ESCAPE = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{2,7}|#[xX][0-9A-Fa-f]{2,6});|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BUCKETS = 1 << 20
 #: Marks that stand in sound texts of all languages: alone they tell nothing of the page.
 COMMON_MARKS = frozenset("…“”‘’–—„«»•‹›")
@@ -75,6 +75,20 @@ def _page(name: str) -> dict[str, int]:
     return out
 
 
+def unescape(text: str) -> str:
+    """One layer of escapes undone; two escaped halves of a character beyond 16 bits become one."""
+    new = ESCAPE.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else chr(int(m[0][2:], 16)), text)
+    return new if new.isascii() else new.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def layers(text: str) -> list[str]:
+    """The text and what it becomes as its layers of escapes are undone, one after the other."""
+    out = [text]
+    while ESCAPE.search(out[-1]) and (new := unescape(out[-1])) != out[-1]:
+        out.append(new)
+    return out
+
+
 # ---- plausibility: the corpus' own character trigrams
 
 
@@ -194,17 +208,20 @@ class Searcher:
                 except UnicodeError:
                     pass
         if ESCAPE.search(text):
-            yield ESCAPE.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else chr(int(m[0][2:], 16)), text)
+            yield unescape(text)
 
     def search(self, segment: str) -> tuple[str | None, str | None, list[tuple[tuple[str, str], float]]]:
         """(surely meant text, likely meant text, [(pages, gain)]): what can be made of a segment by UTF-8 repairs and by exchanged pages.
 
         Best first: the cheapest open text is expanded next; texts already seen (by hash) are not opened again, nor are texts dearer than
-        the segment itself. Shorter alone is no gain: of the texts reached, that of the most common trigrams on average is taken, which must
+        the segment itself, without its escapes: these have no price, and all of their layers are opened. Shorter alone is no gain: of the texts reached, that of the most common trigrams on average is taken, which must
         not be rarer than the old ones, and in a sure case more common.
         """
-        start, n, worst = self.cost(segment)
-        heap, visited = [(start, segment)], {hash(segment)}
+        forms = layers(segment)
+        start, n, worst = self.cost(forms[-1])
+        # escapes alone are no wrong encoding
+        heap, visited = [(self.cost(x)[0], x) for x in forms], {*map(hash, forms)}
+        heapq.heapify(heap)
         sure = likely = None
         mean = start / max(1, n) + 1
         while heap:
@@ -217,11 +234,9 @@ class Searcher:
                 if c >= start or any(unicodedata.category(ch) in ("Co", "Cn") for ch in new if ch > "\xff"):
                     continue
                 heapq.heappush(heap, (c, new))
-                if "&" in segment and new == html.unescape(segment):
-                    continue  # escapes alone are no wrong encoding
                 if start - c > self.least and c / max(1, k) <= mean:
                     mean, likely = c / max(1, k), new
-                    sure = new if mean <= start / n - 1 else None
+                    sure = new if mean <= start / max(1, n) - 1 else None
         pages = []
         odd = {ch for ch in segment if ch > "\x7f"}
         if sure is None and worst > self.common and odd and not odd <= COMMON_MARKS:
@@ -300,7 +315,7 @@ def garbled(df: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
             for f in fields:
                 rows = []
                 for k, t in zip(keys, b.column(f).to_pylist()):
-                    if t and not (t.isascii() and "&" not in t):
+                    if t and not (t.isascii() and "&" not in t and "\\" not in t):
                         r = searcher.judge(t)
                         if r is not None:
                             rows.append((k, f, t, r))

@@ -53,6 +53,33 @@ def test_sound_texts_stay(searcher):
         assert searcher.judge(t) is None
 
 
+@pytest.mark.parametrize(
+    "escaped",
+    [
+        "c&Atilde;&sup3; c&Atilde;&shy;m", "s&Atilde;&copy; H&#xC3;&#xB3;a n&#195;&#179;i", r"H\u00c3\u00b3a v\xc3\xa0 ho\u00c3\u00a0ng", "d&amp;Atilde;&amp;nbsp;nh",
+    ],
+)
+def test_escaped_after_misreading(escaped):
+    words = ["có", "cím", "sé", "Hóa", "nói", "và", "hoàng", "dành"]
+    x = E._codes(" " + " ".join(words * 500 + SOUND * 20) + " ")
+    at = np.flatnonzero((x[:-2] > 127) | (x[1:-1] > 127) | (x[2:] > 127))
+    s = E.Searcher(np.bincount(E._hash(x[at], x[at + 1], x[at + 2]), minlength=E.BUCKETS))
+    got = s.judge(escaped)
+    assert got is not None and all(w in words for w in got.split(" "))
+
+
+def test_escapes_alone_are_sound(searcher):
+    for t in ["caf&eacute;", "d&amp;eacute;", r"h\u00f3a \ud83d\ude00", r"C:\x41b", "AT&T; &nosuch;", r"\ud83d", "&#xd800;", "R&amp;D"]:
+        assert searcher.judge(t) is None
+
+
+def test_escaped_values_pass_the_operator(spark):
+    rows = [(i, t) for i, t in enumerate(SOUND * 30)] + [(1000, r"H\u00c3\u00a1t hoa t\u00c3\u00ad"), (1001, "Gi&aacute;&raquo;&#143;"), (1002, r"a\b &amp; c")]
+    df = spark.createDataFrame([(i, t, "tí Hát " * 40) for i, t in rows], "seq long, title string, other string")
+    got = {r.seq: r.restored for r in E.garbled(df, ("title", "other"), "seq").collect()}
+    assert got == {1000: "Hát hoa tí", 1001: "Giỏ"}
+
+
 def test_stretches_and_losses(searcher):
     bad = misread("sinh nhật mẹ", "utf-8", "latin-1")
     assert searcher.judge(f"Giỏ thược dược cho {bad}") == "Giỏ thược dược cho sinh nhật mẹ"
