@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # What the bytes from 0x80 of a code page stand for. The Western page keeps the bytes it leaves open as control characters.
 PAGES = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1258", "cp437", "cp850", "cp866", "mac_roman", "mac_cyrillic", "koi8_r", "iso8859_5", "iso8859_15")
-EAST = ("cp932", "gb18030", "big5", "euc_kr")
+EAST = ("cp932", "gb18030", "big5", "euc_kr", "euc_jp")
 #: TCVN 5712-3, a Vietnamese page that Python has no codec for: letters by their bytes.
 TCVN3 = {
     "à": 0xB5, "ả": 0xB6, "ã": 0xB7, "á": 0xB8, "ạ": 0xB9, "ă": 0xA8, "ằ": 0xBB, "ẳ": 0xBC, "ẵ": 0xBD, "ắ": 0xBE, "ặ": 0xC6, "â": 0xA9, "ầ": 0xC7,
@@ -27,7 +27,7 @@ TCVN3 = {
     "ủ": 0xF1, "ũ": 0xF2, "ú": 0xF3, "ụ": 0xF4, "ư": 0xAD, "ừ": 0xF5, "ử": 0xF6, "ữ": 0xF7, "ứ": 0xF8, "ự": 0xF9, "ỳ": 0xFA, "ỷ": 0xFB, "ỹ": 0xFC,
     "ý": 0xFD, "ỵ": 0xFE, "Ă": 0xA1, "Â": 0xA2, "Đ": 0xA7, "Ê": 0xA3, "Ô": 0xA4, "Ơ": 0xA5, "Ư": 0xA6,
 }
-#: (page the bytes were read as, page they were written in), for pages of one byte a character.
+#: (page the bytes were read as, page they were written in), for pages of one byte a character: the common ones, which win over others of equal gain.
 MISTAKEN = (
     ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "tcvn3"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "cp1250"),
     ("cp1252", "cp1258"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "koi8_r"),
@@ -150,11 +150,16 @@ class Searcher:
         self.may = {name: re.compile(x).search for name, x in sides.items()}
         self.may_any = re.compile("|".join(sides.values())).search
         self.west = pages["cp1252"]
-        self.pairs = []
-        for read, written in MISTAKEN:
+        self.exchanges: dict[str, list] = {}
+        self.change: dict[tuple[str, str], tuple[frozenset, dict]] = {}
+        every = [(read, written) for read in PAGES for written in (*PAGES, "tcvn3") if read != written]
+        for read, written in sorted(every, key=lambda x: x not in MISTAKEN):
             back = {b: ch for ch, b in sorted(pages[written].items())}  # a page's own characters before control characters
             change = {ord(ch): back[b] for ch, b in pages[read].items() if b in back}
-            self.pairs.append((frozenset(map(chr, change)), change, (read, written)))
+            self.change[read, written] = frozenset(map(chr, change)), change
+            self.exchanges.setdefault(read, []).append((read, written))
+        self.held = {read: frozenset(pages[read]) for read in PAGES}
+        self.paths: dict[tuple, tuple] = {}
         self.known: dict[str, tuple | None] = {}
 
     def cost(self, text: str) -> tuple[float, int, float]:
@@ -181,80 +186,144 @@ class Searcher:
             a, b = b, c
         return total, n, worst
 
-    def steps(self, text: str) -> Iterator[str]:
-        """The texts one operation away: UTF-8 read as some page, UTF-8 read as a page of two bytes, and escapes."""
+    def steps(self, text: str) -> Iterator[tuple[tuple[str, ...], str]]:
+        """(operation, text) one operation away: UTF-8 read as some page, UTF-8 read as a page of two bytes, and escapes."""
         for name in PAGES if self.may_any(text) else ():
-            if not self.may[name](text):
-                continue
-            moved = text.translate(self.to_bytes[name])
-            parts, at = [], 0
-            for m in SEQUENCE.finditer(moved):
-                parts += [text[at : m.start()], m[0].encode("latin-1").decode()]
-                at = m.end()
-            if parts:
-                yield "".join(parts) + text[at:]
-        if any(ch > "⺀" for ch in text):
-            for name in EAST:
-                try:
-                    yield text.encode(name).decode()
-                except UnicodeError:
-                    pass
-        west = self.west
-        if sum(ch > "\x7f" for ch in text) > 2 and all(ch < "\x80" or ch in west for ch in text):
-            raw = bytes(west.get(ch) or ord(ch) for ch in text)
-            for name in EAST:
-                try:
-                    yield raw.decode(name)
-                except UnicodeError:
-                    pass
+            if self.may[name](text) and (new := self.operate(("utf-8", name), text)) is not None:
+                yield ("utf-8", name), new
+        operations = [("utf-8", name) for name in EAST] if any(ch > "⺀" for ch in text) else []
+        if sum(ch > "\x7f" for ch in text) > 2 and all(ch < "\x80" or ch in self.west for ch in text):
+            operations += [(name, "cp1252") for name in EAST]
         if ESCAPE.search(text):
-            yield unescape(text)
-
-    def search(self, segment: str) -> tuple[str | None, str | None, list[tuple[tuple[str, str], float]]]:
-        """(surely meant text, likely meant text, [(pages, gain)]): what can be made of a segment by UTF-8 repairs and by exchanged pages.
+            operations.append(("unescape",))
+        for op in operations:
+            if (new := self.operate(op, text)) is not None:
+                yield op, new
+
+    def operate(self, op: tuple[str, ...], text: str) -> str | None:
+        """A text with one operation undone: (encoding it was written in, page it was read as), or escapes; None if that can't be."""
+        if len(op) == 1:
+            return unescape(text)
+        written, read = op
+        try:
+            if read in EAST:
+                return text.encode(read).decode()
+            if written in EAST:
+                return bytes(self.west.get(ch) or ord(ch) for ch in text).decode(written)
+        except (UnicodeError, ValueError):
+            return None
+        if written != "utf-8":
+            return text.translate(self.change[read, written][1])
+        moved = text.translate(self.to_bytes[read])
+        parts, at = [], 0
+        for m in SEQUENCE.finditer(moved):
+            parts += [text[at : m.start()], m[0].encode("latin-1").decode()]
+            at = m.end()
+        return "".join(parts) + text[at:] if parts else None
+
+    def exchanged(self, text: str, cost: tuple[float, int, float]) -> Iterator[tuple[tuple[str, str], str, float]]:
+        """(operation, text, cost): what rare text becomes by each exchange of two pages of one byte that hold all of it."""
+        odd = {ch for ch in text if ch > "\x7f"}
+        if cost[2] <= self.common or not odd or odd <= COMMON_MARKS:
+            return
+        costs: dict[str, float] = {}
+        for read, pairs in self.exchanges.items():
+            if not odd <= self.held[read]:
+                continue
+            for pair in pairs:
+                repertoire, change = self.change[pair]
+                if odd <= repertoire:
+                    new = text.translate(change)
+                    c = costs.get(new)
+                    if c is None:
+                        c = costs[new] = self.cost(new)[0] if new.lower() != text.lower() else math.inf
+                    if c < math.inf:
+                        yield (pair[1], read), new, c
+
+    def doubt(self, path: tuple) -> float:
+        """What a path must gain beyond a common exchange: the more paths there are of its kind, the more likely one of them fits by chance."""
+        if len(path) == 1 and (path[0][1], path[0][0]) in MISTAKEN:
+            return 0.0
+        return sum(self.least if op[0] == "utf-8" or op[0] in EAST or len(op) == 1 else math.log(len(self.change)) for op in path)
+
+    def follow(self, path: tuple, text: str) -> tuple[str, bool]:
+        """What a text becomes by a path, as far as its operations apply, and whether its exchanges hold all characters."""
+        whole = True
+        for op in path:
+            if len(op) == 2 and op[0] != "utf-8" and op[0] not in EAST:
+                whole = whole and {ch for ch in text if ch > "\x7f"} <= self.change[op[1], op[0]][0]
+            new = self.operate(op, text)
+            text = text if new is None else new
+        return text, whole
+
+    def search(self, segment: str) -> tuple[str | None, str | None, list[tuple[tuple, float]]]:
+        """(surely meant text, likely meant text, [(path, gain)]): what can be made of a segment by UTF-8 repairs, and by paths with an exchange of pages.
 
         Best first: the cheapest open text is expanded next; texts already seen (by hash) are not opened again, nor are texts dearer than
-        the segment itself, without its escapes: these have no price, and all of their layers are opened. Shorter alone is no gain: of the texts reached, that of the most common trigrams on average is taken, which must
-        not be rarer than the old ones, and in a sure case more common.
+        the segment itself, without its escapes: these have no price, and all of their layers are opened. Shorter alone is no gain: of the
+        texts reached without an exchange, that of the most common trigrams on average is taken, which must not be rarer than the old ones,
+        and in a sure case more common. Exchanges start from every text reached but by an exchange, and what they lead to is expanded in turn.
         """
         forms = layers(segment)
         start, n, worst = self.cost(forms[-1])
         # escapes alone are no wrong encoding
-        heap, visited = [(self.cost(x)[0], x) for x in forms], {*map(hash, forms)}
+        heap = [(self.cost(x)[0], x, (("unescape",),) * i) for i, x in enumerate(forms)]
+        visited = {*map(hash, forms)}
         heapq.heapify(heap)
         sure = likely = None
         mean = start / max(1, n) + 1
-        while heap:
-            _, text = heapq.heappop(heap)
-            for new in self.steps(text):
-                if hash(new) in visited:
+        reached, pages = [], []
+
+        def expand(text: str, path: tuple, taken: set[int]) -> Iterator[tuple[str, tuple, float, int]]:
+            for op, new in self.steps(text):
+                if hash(new) in taken:
                     continue
-                visited.add(hash(new))
+                taken.add(hash(new))
                 c, k, _ = self.cost(new)
                 if c >= start or any(unicodedata.category(ch) in ("Co", "Cn") for ch in new if ch > "\xff"):
                     continue
-                heapq.heappush(heap, (c, new))
+                yield new, (*path, op), c, k
+
+        while heap:
+            _, text, path = heapq.heappop(heap)
+            reached.append((text, path))
+            for new, way, c, k in expand(text, path, visited):
+                heapq.heappush(heap, (c, new, way))
                 if start - c > self.least and c / max(1, k) <= mean:
                     mean, likely = c / max(1, k), new
                     sure = new if mean <= start / max(1, n) - 1 else None
-        pages = []
-        odd = {ch for ch in segment if ch > "\x7f"}
-        if sure is None and worst > self.common and odd and not odd <= COMMON_MARKS:
-            for repertoire, change, name in self.pairs:
-                if odd <= repertoire:
-                    new = segment.translate(change)
-                    c = self.cost(new)[0]
-                    if c < start and new.lower() != segment.lower():
-                        pages.append((name, start - c))
+        while reached and sure is None:
+            text, path = reached.pop()
+            cost = self.cost(text)
+            if text in forms[:-1]:
+                continue
+            for op, new, c in self.exchanged(text, cost):
+                way = (*path, op)
+                if c < min(cost[0], start):
+                    pages.append((self.paths.setdefault(way, way), min(cost[0], start) - c))
+                open_, taken = [(new, way)], {*visited, hash(new)}
+                while open_:
+                    for after, on, x, k in expand(*open_.pop(), taken):
+                        if x / max(1, k) <= start / max(1, n) - 1:
+                            pages.append((self.paths.setdefault(on, on), k * start / max(1, n) - x))  # shorter alone is no gain here either
+                        open_.append((after, on))
         return sure, likely, pages
 
     def judge(self, value: str) -> str | None:
         """The restored text if the value is garbled, in whole or in part, else None. What cannot be restored stays as it is."""
+        now, seen = value, {value}
+        while (new := self.mend(now)) is not None and new not in seen:
+            seen.add(new)
+            now = new
+        return now if now != value or LOST.search(value) else None
+
+    def mend(self, value: str) -> str | None:
+        """The value with the operations undone that its segments, or all of them together, bear out at once, or None."""
         segments = value.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         found: dict[str, str] = {}
         likely: dict[str, str] = {}
         others: list[str] = []
-        sums: dict[tuple[str, str], float] = {}
+        sums: dict[tuple, float] = {}
         known = self.known
         quoted = "“" in value
         for s in segments:
@@ -282,17 +351,19 @@ class Searcher:
                 sums[name] = sums.get(name, 0.0) + gain
         if found:
             found = likely | found
-        if sums:
-            name = max(sums, key=sums.__getitem__)
-            if sums[name] >= self.least_pages:
-                repertoire, change, _ = next(x for x in self.pairs if x[2] == name)
-                gains = {s: self.cost(s)[0] - self.cost(s.translate(change))[0] for s in {*others} - found.keys()}
-                # what the exchange would spoil speaks against it, unless a long stretch speaks for it
-                net = sum(g for s, g in gains.items() if g > 0 or {ch for ch in s if ch > "\x7f"} <= repertoire)
-                if net > 0 or sums[name] >= 5 * self.least_pages:
-                    found |= {s: s.translate(change) for s, g in gains.items() if g > 0}
+        sums = {path: total - self.doubt(path) for path, total in sums.items()}
+        for path in sorted(sums, key=sums.__getitem__, reverse=True):
+            if sums[path] < self.least_pages:
+                break
+            made = {s: self.follow(path, s) for s in {*others} - found.keys()}
+            gains = {s: self.cost(layers(s)[-1])[0] - self.cost(new)[0] for s, (new, _) in made.items()}
+            # what the exchange would spoil speaks against it, unless a long stretch speaks for it
+            net = sum(g for s, g in gains.items() if g > 0 or made[s][1])
+            if net > 0 or sums[path] >= 5 * self.least_pages:
+                found |= {s: made[s][0] for s, g in gains.items() if g > 0}
+                break
         if not found:
-            return value if LOST.search(value) else None
+            return None
         pattern = re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True))))
         return pattern.sub(lambda m: found[m[0]], value)
 
@@ -301,8 +372,8 @@ def garbled(df: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
     """(key, field, text, restored): one row for each garbled value, with the text as far as it can be restored.
 
     A value is garbled if a stretch of it becomes cheaper, by its character trigrams in the whole corpus, once the encoding mistakes are
-    undone: UTF-8 read as a one-byte or East Asian page, several times over or with escapes in between, or one page read as another (which the
-    value's segments must bear out together). Replacement and C1 control characters are garbled in any case. Null, empty and ASCII values
+    undone: UTF-8 read as a one-byte or East Asian page, several times over or with escapes in between, or any one-byte page read as any other,
+    before or after that (which the value's segments must bear out together). Replacement and C1 control characters are garbled in any case. Null, empty and ASCII values
     are never garbled. Only a table of fixed size is broadcast. Rows keep their number, equal keys included.
     """
     counts = trigram_counts(df, fields)

@@ -48,6 +48,24 @@ def test_round_trip(searcher, text, written, read):
         assert searcher.judge(misread(bad, "utf-8", "latin-1")) == text
 
 
+@pytest.mark.parametrize(("written", "read"), [("cp866", "cp1252"), ("iso8859_5", "cp1252"), ("mac_cyrillic", "cp1252"), ("mac_cyrillic", "cp866"), ("koi8_r", "mac_roman")])
+def test_any_page_read_as_another(searcher, written, read):
+    raw = SOUND[5].encode(written)
+    bad = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in raw)
+    assert searcher.judge(bad) == SOUND[5]
+    if read == "cp1252":
+        assert searcher.judge(misread(bad, "utf-8", "latin-1")) == SOUND[5]
+
+
+def test_japanese_in_euc(searcher):
+    assert searcher.judge(misread(SOUND[6], "euc_jp", "cp1252")) == SOUND[6]
+
+
+def test_a_page_exchanged_after_utf8(searcher):
+    once = misread("Größe", "utf-8", "cp1252")
+    assert searcher.judge(once.encode("mac_roman").decode("cp850")) == "Größe"
+
+
 def test_sound_texts_stay(searcher):
     for t in [*SOUND, "ROMÃ –", "“Xin chào – ROMÃ”", "từ Ærø", "©Vườn 2020", "&amp; x", "É", "ß" * 1000]:
         assert searcher.judge(t) is None
