@@ -174,15 +174,20 @@ def matches(c: Column | str, expressions: Sequence[str]) -> Column:
 
 
 def profile(
-    df: DataFrame, group: str, texts: Sequence[str], numbers: Sequence[str] = (), contracts: dict[str, str] | None = None, expressions: dict[str, list[str]] | None = None
+    df: DataFrame, group: str, texts: Sequence[str], numbers: Sequence[str] = (), contracts: dict[str, str] | None = None, expressions: dict[str, list[str]] | None = None,
+    ranges: bool = False,
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """((group, column, n_rows, n_null, n_missing, n_values, n_distinct, n_violations, n_min, n_max), expressions): a profile of each column by load.
 
     n_null counts null and empty, n_missing null only; n_violations the values that none of the column's induced expressions describes; n_min and n_max are of
-    numbers. A contract is the exact expression promised for a column: where the induced one is another, the contract is counted. Ranges,
+    numbers, of which moments count as microseconds since 1970. With `ranges`, v_min and v_max are the least and greatest value of texts (in code point
+    order, without empty ones) as well as of numbers. A contract is the exact expression promised for a column: where the induced one is another, the contract is counted. Ranges,
     nulls and violations come from one aggregate over narrow rows; distinct values from grouping by value, so neither a large load nor
     a frequent value meets in one task. Given expressions (of an earlier load) are used as they are. An empty table gives no rows.
     """
+    for c in numbers:
+        if df.schema[c].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+            df = df.withColumn(c, F.unix_micros(F.col(c).cast("timestamp")))
     groups = written(value_groups(df, group, texts))
     found = dict(expressions or induce(groups))
     for c, e in (contracts or {}).items():
@@ -211,9 +216,22 @@ def profile(
     joined = base.withColumn("__g", F.col(group)).join(distinct.withColumnRenamed(group, "__d"), (F.col("__g").eqNullSafe(F.col("__d"))) & (base["column"] == distinct["column"]), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = joined.select(base[group], base["column"], "n_rows", "n_null", "n_missing", zero("n_values"), zero("n_distinct"), "n_violations", "n_min", "n_max")
+    if ranges:
+        out = _with_ranges(out, df, group, texts)
     return out, found
 
 
+def _with_ranges(out: DataFrame, df: DataFrame, group: str, texts: Sequence[str]) -> DataFrame:
+    """Adds v_min and v_max; texts from one aggregate of a row per load, numbers from n_min and n_max."""
+    value = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    wide = df.groupBy(F.col(group).alias("__r")).agg(*[f(value(c)).alias(f"{k}_{c}") for c in texts for k, f in (("min", F.min), ("max", F.max))])
+    each = [F.struct(F.lit(c).alias("__c"), F.col(f"min_{c}").alias("v_min"), F.col(f"max_{c}").alias("v_max")) for c in texts]
+    found = wide.select("__r", F.explode(F.array(*each)).alias("x")).select("__r", "x.*")
+    joined = out.join(found, F.col(group).eqNullSafe(F.col("__r")) & (F.col("column") == F.col("__c")), "left")
+    both = lambda v, n: F.coalesce(v, F.col(n).cast("string")).alias(v)
+    return joined.select(*out.columns, both("v_min", "n_min"), both("v_max", "n_max"))
+
+
 def coverage_changes(profiled: DataFrame, group: str, loads: DataFrame, run: str, number: str) -> DataFrame:
     """(group, column, coverage, coverage_before): the share of a column's values that its expressions describe, beside that of the
     load before it in the same run. Shares are null where a load has no values of the column."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +32,15 @@ def query(name: str, sql: str | None = None) -> Callable:
 # ---- problem 5: profiles of the loads
 
 TEXTS = ("shop", "url", "title", "price_raw", "description", "promo", "image", "content_hash")
+#: The other columns but the group: profiled with least and greatest value, moments as microseconds since 1970.
+NUMBERS = ("price_vnd", "seq", "crawled_at")
 NULL_RATES = ("title", "description", "price_raw", "price_vnd", "image")
 HASH_CONTRACT = "[0-9a-f]{16}"
 
 
-def _profiled(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
-    products = spread(table(spark, d, "products").select("load_id", "price_vnd", *TEXTS))
-    return profile.profile(products, "load_id", TEXTS, ("price_vnd",), {"content_hash": HASH_CONTRACT})
+def _profiled(spark: SparkSession, d: str, numbers: Sequence[str] = NUMBERS, ranges: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
+    products = spread(table(spark, d, "products").select("load_id", *numbers, *TEXTS))
+    return profile.profile(products, "load_id", TEXTS, numbers, {"content_hash": HASH_CONTRACT}, ranges=ranges)
 
 
 def _load_metrics(profiled: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ COUNTS = ("documents", "distinct_urls", "duplicate_urls", "duplicate_content_has
 )
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The published reports that differ from the profiles, and the shifts between loads of a run."""
-    profiled, _ = _profiled(spark, d)
+    profiled, _ = _profiled(spark, d, ("price_vnd",))
     measured = cut(_load_metrics(profiled))
     published = table(spark, d, "quality_corrupt")
     rows = published.select(
@@ -128,7 +130,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_profile")
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """The profile of every column by load, with the expressions that were induced."""
-    profiled, expressions = _profiled(spark, d)
+    profiled, expressions = _profiled(spark, d, ranges=True)
     named = F.create_map(*[x for c, e in expressions.items() for x in (F.lit(c), F.lit(" | ".join(e)))])
     return profiled.withColumn("expressions", named[F.col("column")])
 

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 from petalstream.operators import profile as P
 
@@ -48,3 +49,22 @@ def test_shapes():
     assert P.expression("H", 16)[0] == "[0-9a-f]{16}"
     assert P.phrase("L-L-L/D") == "<L->/D"
     assert P._phrase_expression("<L->/D")[0] == "[0-9a-z]+(?:\\-[0-9a-z]+)*/[0-9]+"
+
+
+def test_moments_and_text_ranges(spark):
+    rows = [(1, "b", datetime(2024, 5, 2), 7), (1, "", datetime(2024, 4, 30, 1), 3), (1, "é", None, 5), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "load long, a string, at timestamp, n long")
+    got = {(r.load, r.column): r for r in P.profile(df, "load", ["a"], ["n", "at"], ranges=True)[0].collect()}
+    least, most = got[1, "at"].n_min, got[1, "at"].n_max
+    assert most - least == (24 * 2 - 1) * 3_600_000_000 and least % 3_600_000_000 == 0 and got[1, "at"].n_distinct == 2 and got[1, "at"].n_null == 1
+    assert (got[1, "a"].v_min, got[1, "a"].v_max, got[1, "n"].v_min, got[1, "n"].v_max) == ("b", "é", "3", "7") and got[2, "a"].v_min is None
+    assert len(got) == 6
+
+
+def test_every_column_of_products_is_profiled(spark, data):
+    from petalstream.plans import catalogue as C
+    from petalstream.sources.tables import table
+
+    products = table(spark, data, "products")
+    got = C.p5_profile(spark, data).groupBy("column").agg({"n_rows": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == dict.fromkeys(set(products.columns) - {"load_id"}, products.count())
