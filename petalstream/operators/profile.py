@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,14 +103,35 @@ def _phrase_expression(p: str) -> tuple[str, float]:
     return out, sum(bits) / len(bits) if bits else 0.0
 
 
-def induce(groups: DataFrame, min_share: float = 0.1, candidates: int = 50) -> dict[str, list[str]]:
+def _hypotheses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(column, expression, n, bits, octets, is_set): the expressions that each shape or set of characters gives rise to, with what they cost its values."""
+    for b in batches:
+        rows = []
+        for column, kind, form, at, n, length, octets in zip(b["column"], b["kind"], b["form"], b["at"], b["n"], b["length"], b["octets"]):
+            options: dict[str, float] = {}
+            if kind == "set":
+                size = sum(SETS[x][1] for x in form)
+                options[f"[{''.join(SETS[x][0] for x in form)}]+"] = length * math.log2(max(2, size)) + n * 2 * math.log2(1 + length / n)
+            else:
+                made = [expression(form, int(at))] if kind == "length" else [expression(form), _phrase_expression(phrase(form))]
+                for i, (e, mean) in enumerate(made):
+                    stands = sum(ch not in CLASSES for ch in form)
+                    free = max(0, length - n * stands)
+                    code = 0 if kind == "length" else sum(ch in CLASSES for ch in form) * n * 2 * math.log2(2 + free / n)
+                    options.setdefault(e, free * mean + code + i * n)
+            rows += [(column, e, n, float(bits), octets, kind == "set") for e, bits in options.items()]
+        yield pd.DataFrame(rows, columns=["column", "expression", "n", "bits", "octets", "is_set"])
+
+
+def induce(groups: DataFrame, min_share: float = 0.1) -> dict[str, list[str]]:
     """The regular expressions of each column, by minimum description length over all its distinct values.
 
     Hypotheses are, from narrow to wide, a token of one length, a sequence of tokens, the same with repetitions, and a character set. A
     hypothesis costs its own length and, for each distinct value it describes, the characters left open; a value that the model doesn't
     describe is spelled out in octets, and which way a value goes costs the entropy of the shares. Each step adds the hypothesis that
     shortens the whole most, as long as it describes at least `min_share` of the distinct values that are left out so far. All
-    statistics are aggregated over all values; the driver gets the `candidates` most frequent shapes of each kind and column.
+    statistics are aggregated over all values and shapes; the driver gets the expressions that describe at least `min_share` of a column's
+    distinct values, which no other could be chosen before: four for each value at most, so 4 / min_share of a column.
     """
     values = groups.groupBy("column", "h1", "h2", "shape", "chars", "length", "octets").agg(F.sum("n").alias("n"))
     kinds = [
@@ -119,26 +141,15 @@ def induce(groups: DataFrame, min_share: float = 0.1, candidates: int = 50) -> d
     ]
     per = values.select("column", "shape", "length", "octets", F.explode(F.array_compact(F.array(*kinds))).alias("k")).groupBy("column", "k.kind", "k.form", "k.at")
     per = per.agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("octets").alias("octets"))
-    w = Window.partitionBy("column", "kind").orderBy(F.desc("n"), "form", "at")
-    top = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= candidates).drop("r")
     totals = {r["column"]: r.n for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
     found: dict[str, dict[str, tuple[int, float, int, bool]]] = {c: {} for c in totals}
-    for r in top.collect():
-        n, length = r.n, r.length
-        options: dict[str, tuple[float, bool]] = {}
-        if r.kind == "set":
-            size = sum(SETS[x][1] for x in r.form)
-            options[f"[{''.join(SETS[x][0] for x in r.form)}]+"] = (length * math.log2(max(2, size)) + n * 2 * math.log2(1 + length / n), True)
-        else:
-            made = [expression(r.form, r["at"])] if r.kind == "length" else [expression(r.form), _phrase_expression(phrase(r.form))]
-            for i, (e, mean) in enumerate(made):
-                stands = sum(ch not in CLASSES for ch in r.form)
-                free = max(0, length - n * stands)
-                code = 0 if r.kind == "length" else sum(ch in CLASSES for ch in r.form) * n * 2 * math.log2(2 + free / n)
-                options.setdefault(e, (free * mean + code + i * n, False))
-        for e, (bits, is_set) in options.items():
-            old = found[r["column"]].get(e, (0, 0.0, 0, is_set))
-            found[r["column"]][e] = (old[0] + n, old[1] + bits, old[2] + r.octets, is_set)
+    made = per.mapInPandas(_hypotheses, "column string, expression string, n long, bits double, octets long, is_set boolean").groupBy("column", "expression")
+    made = made.agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("octets").alias("octets"), F.max("is_set").alias("is_set"))
+    large = F.lit(False)
+    for c, total in totals.items():
+        large |= (F.col("column") == c) & (F.col("n") >= min_share * total)
+    for r in sorted(made.where(large).collect(), key=lambda r: (-r.n, r.expression)):
+        found[r["column"]][r.expression] = (r.n, r.bits, r.octets, r.is_set)
     out = {}
     for column, options in found.items():
         total = totals[column]

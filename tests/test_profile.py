@@ -68,3 +68,10 @@ def test_every_column_of_products_is_profiled(spark, data):
     products = table(spark, data, "products")
     got = C.p5_profile(spark, data).groupBy("column").agg({"n_rows": "sum"}).collect()
     assert {r[0]: r[1] for r in got} == dict.fromkeys(set(products.columns) - {"load_id"}, products.count())
+
+
+def test_a_repetition_is_credited_with_all_its_shapes(spark):
+    values = ["-".join(f"12345678901{j}" if f >> i & 1 else f"ab12cd34ef5{j}" for i in range(9)) for f in range(512) for j in range(2)]
+    df = spark.createDataFrame([(1, v) for v in values], "load long, slug string")
+    found = P.induce(P.value_groups(df, "load", ["slug"]))["slug"]
+    assert found[0] == r"[0-9a-f]+(?:\-[0-9a-f]+)*"
