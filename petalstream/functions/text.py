@@ -32,7 +32,10 @@ def decompose(c: Column | str) -> Column:
 
 def fold_case(c: Column | str) -> Column:
     """Lower case, with 'ß' as 'ss' and final sigma as sigma, so that it meets what upper case makes of them."""
-    return F.replace(F.translate(F.lower(col(c)), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    c = F.lower(col(c))
+    for old, new in (("ς", "σ"), ("ſ", "s"), ("ß", "ss")):  # searches for bytes; translate would look up every character
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def fold_diacritics(c: Column | str) -> Column:
