@@ -16,29 +16,29 @@ PROMOTED = ("description", "promo")
 
 
 def _record_keys(spark: SparkSession, d: str) -> DataFrame:
-    """(origin, id, key) of the records of both tables."""
+    """(key, id) of the records of both tables; the origin leads the key, and the id's lowest bit carries it through the scan."""
     products = spread(table(spark, d, "products").select("seq", "url", *RECORD)).select(F.lit("products").alias("origin"), F.col("seq").alias("id"), "url", *RECORD)
     raw = spread(table(spark, d, "raw_records").select("raw_id", "payload")).select(F.lit("raw_records").alias("origin"), F.col("raw_id").alias("id"), "payload")
     raw = duplicates.payload_members(raw, "payload")
     rows = products.unionByName(raw.select("origin", "id", "url", *RECORD))
-    return duplicates.with_key(rows, "url", RECORD)
+    keyed = duplicates.with_key(rows, "url", RECORD)
+    return keyed.select(F.concat_ws(duplicates.FIELD_END, "origin", "key").alias("key"), (F.shiftleft("id", 1) + (F.col("origin") == "raw_records").cast("long")).alias("id"))
+
+
+def _with_origin(found: DataFrame, *ids: str) -> DataFrame:
+    """The origin that the lowest bit of each id carries, and the ids without it."""
+    origin = F.when(F.col(ids[0]) % 2 == 0, "products").otherwise("raw_records")
+    return found.select(origin.alias("origin"), *[F.shiftright(c, 1).alias(c) for c in ids], *[c for c in found.columns if c not in ids])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of one record within each origin; the origin leads the key, and the id's lowest bit carries it through the scan."""
-    rows = _record_keys(spark, d).select(
-        F.concat_ws(duplicates.FIELD_END, "origin", "key").alias("key"), (F.col("id") * 2 + (F.col("origin") == "raw_records").cast("long")).alias("id")
-    )
-    links = duplicates.copy_links(rows, "key", "id")
-    origin = F.when(F.col("first_id") % 2 == 0, "products").otherwise("raw_records")
-    half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
-    return links.select(origin.alias("origin"), half("first_id"), half("copy_id"))
+    """Copies of one record within each origin."""
+    return _with_origin(duplicates.copy_links(_record_keys(spark, d), "key", "id"), "first_id", "copy_id")
 
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each distinct record of `products` with its number of copies."""
-    rows = duplicates.with_key(spread(table(spark, d, "products").select("seq", "url", *RECORD)), "url", RECORD)
-    return duplicates.collapse(rows, "key", "seq").select(F.col("id").alias("seq"), "n_copies")
+    """One row for each distinct record of both origins with its number of copies."""
+    return _with_origin(duplicates.collapse(_record_keys(spark, d), "key", "id"), "id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def _member(name: str) -> str:
     return f"json_extract_string(payload, '$.\"' || {found} || '\"') AS {name}"
 
 
-ORACLES["p2_found"] = f"""
+_RECORDS_SQL = f"""
     WITH ok AS (SELECT raw_id, payload FROM raw_records WHERE payload IS NOT NULL AND json_valid(payload)),
     obj AS (SELECT * FROM ok WHERE json_type(payload) = 'OBJECT'),
     r AS (
@@ -134,10 +134,14 @@ ORACLES["p2_found"] = f"""
     f AS (SELECT origin, id, {', '.join(f'{_bare(_fold(c))} AS {c}' for c in RECORD)}, string_split({_fold('url')}, '#') AS u FROM r),
     k AS (
       SELECT *, {_bare("string_split(u[1], '?')[1]")} AS path, {_bare("coalesce(array_to_string(u[2:], '#'), '')")} AS fragment,
-        list_sort(list_filter(list_transform(string_split(coalesce(array_to_string(string_split(u[1], '?')[2:], '?'), ''), '&'), lambda p: {_bare('p')}), lambda p: p <> '')) AS params FROM f),
+        list_sort(list_filter(list_transform(string_split(coalesce(array_to_string(string_split(u[1], '?')[2:], '?'), ''), '&'), lambda p: {_bare('p')}), lambda p: p <> '')) AS params FROM f)"""
+
+ORACLES["p2_found"] = f"""{_RECORDS_SQL},
     g AS (SELECT origin, id, min(id) OVER (PARTITION BY origin, path, params, fragment, {', '.join(RECORD)}) AS first_id FROM k)
     SELECT origin, first_id, id AS copy_id FROM g WHERE id > first_id"""
 
+ORACLES["p2_collapsed"] = f"{_RECORDS_SQL} SELECT origin, min(id) AS id, count(*) AS n_copies FROM k GROUP BY origin, path, params, fragment, {', '.join(RECORD)}"
+
 ORACLES["p3_found"] = f"""
     WITH v AS (SELECT seq, shop, 'description' AS field, description AS value FROM products UNION ALL SELECT seq, shop, 'promo', promo FROM products),
     l AS (SELECT seq, shop, field, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) AS line_no FROM v WHERE value IS NOT NULL),
@@ -146,10 +150,3 @@ ORACLES["p3_found"] = f"""
     c AS (SELECT coalesce(shop, chr(0)) AS shop, line, count(DISTINCT seq) AS k FROM b WHERE regexp_matches(line, '\\p{{L}}') GROUP BY 1, 2),
     s AS (SELECT c.shop, line FROM c JOIN n USING (shop) WHERE k >= 5 AND k * 20 >= n)
     SELECT seq, field, line_no FROM b JOIN s ON coalesce(b.shop, chr(0)) = s.shop AND b.line = s.line"""
-
-ORACLES["p2_collapsed"] = f"""
-    WITH f AS (SELECT seq, {', '.join(f'{_bare(_fold(c))} AS {c}' for c in RECORD)}, string_split({_fold('url')}, '#') AS u FROM products),
-    k AS (
-      SELECT *, {_bare("string_split(u[1], '?')[1]")} AS path, {_bare("coalesce(array_to_string(u[2:], '#'), '')")} AS fragment,
-        list_sort(list_filter(list_transform(string_split(coalesce(array_to_string(string_split(u[1], '?')[2:], '?'), ''), '&'), lambda p: {_bare('p')}), lambda p: p <> '')) AS params FROM f)
-    SELECT min(seq) AS seq, count(*) AS n_copies FROM k GROUP BY path, params, fragment, {', '.join(RECORD)}"""

@@ -76,3 +76,16 @@ def test_payloads(spark):
     df = spark.createDataFrame(rows, "id long, payload string")
     got = {r.id: (r.url, r.title) for r in D.payload_members(df, "payload", ("url", "title")).collect()}
     assert got == {1: ("u", "a"), 2: ("u", "A"), 6: (None, "5")}
+
+
+def test_keys_of_one_hash_over_several_partitions():
+    """Two keys under one hash, cut by ids into three partitions: every piece of both is an edge."""
+    import pyarrow as pa
+
+    def scan(rows):
+        out = D._scanner(False)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["h", "key", "id"])]))
+        return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+    assert scan([(1, "x", 1), (1, "x", 2), (2, "y", 3), (2, "y", 4), (5, "a", 1), (5, "a", 3), (5, "b", 2)]) == [(1, [2], "x"), (3, [4], None), (1, [3], "a"), (2, [], "b")]
+    assert scan([(5, "a", 5), (5, "b", 6)]) == [(5, [], "a"), (6, [], "b")]
+    assert scan([(5, "a", 7), (5, "b", 8), (6, "c", 9), (7, "d", 9)]) == [(7, [], "a"), (8, [], "b"), (9, [], "d")]
