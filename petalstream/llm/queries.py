@@ -43,15 +43,13 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     products = spread(table(spark, d, "products").select("seq", "shop", *PROMOTED))
-    confirmed = repeated_lines.repeated_lines(products, "shop", PROMOTED)
-    return repeated_lines.find_lines(products, confirmed, "shop", PROMOTED, "seq")
+    lines = repeated_lines.hashed_lines(products, "shop", PROMOTED, ["seq"])
+    return repeated_lines.find_lines(lines, repeated_lines.repeated_lines(lines, PROMOTED), PROMOTED, "seq")
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """`products` with the repeated lines taken out of both fields."""
-    products = spread(table(spark, d, "products").select("seq", "shop", *PROMOTED))
-    confirmed = repeated_lines.repeated_lines(products, "shop", PROMOTED)
-    return repeated_lines.remove_lines(products, confirmed, "shop", PROMOTED)
+    return repeated_lines.remove_lines(spread(table(spark, d, "products").select("seq", "shop", *PROMOTED)), "shop", PROMOTED)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +140,18 @@ ORACLES["p2_found"] = f"""{_RECORDS_SQL},
 
 ORACLES["p2_collapsed"] = f"{_RECORDS_SQL} SELECT origin, min(id) AS id, count(*) AS n_copies FROM k GROUP BY origin, path, params, fragment, {', '.join(RECORD)}"
 
-ORACLES["p3_found"] = f"""
+_LINES_SQL = f"""
     WITH v AS (SELECT seq, shop, 'description' AS field, description AS value FROM products UNION ALL SELECT seq, shop, 'promo', promo FROM products),
     l AS (SELECT seq, shop, field, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) AS line_no FROM v WHERE value IS NOT NULL),
-    b AS (SELECT seq, shop, field, line_no, {_bare(_fold('line'))} AS line FROM l),
+    b AS (SELECT seq, shop, field, line_no, line AS raw, {_bare(_fold('line'))} AS line FROM l),
     n AS (SELECT coalesce(shop, chr(0)) AS shop, count(*) AS n FROM products GROUP BY 1),
     c AS (SELECT coalesce(shop, chr(0)) AS shop, line, count(DISTINCT seq) AS k FROM b WHERE regexp_matches(line, '\\p{{L}}') GROUP BY 1, 2),
-    s AS (SELECT c.shop, line FROM c JOIN n USING (shop) WHERE k >= 5 AND k * 20 >= n)
-    SELECT seq, field, line_no FROM b JOIN s ON coalesce(b.shop, chr(0)) = s.shop AND b.line = s.line"""
+    s AS (SELECT c.shop, line FROM c JOIN n USING (shop) WHERE k >= 5 AND k * 20 >= n)"""
+
+ORACLES["p3_found"] = f"{_LINES_SQL} SELECT seq, field, line_no FROM b JOIN s ON coalesce(b.shop, chr(0)) = s.shop AND b.line = s.line"
+
+ORACLES["p3_cleaned"] = f"""{_LINES_SQL},
+    k AS (SELECT seq, field, string_agg(raw, chr(10) ORDER BY line_no) AS kept FROM b LEFT JOIN s ON coalesce(b.shop, chr(0)) = s.shop AND b.line = s.line WHERE s.line IS NULL GROUP BY seq, field)
+    SELECT p.seq, p.shop, CASE WHEN p.description IS NOT NULL THEN coalesce(d.kept, '') END AS description, CASE WHEN p.promo IS NOT NULL THEN coalesce(o.kept, '') END AS promo
+    FROM products p LEFT JOIN k d ON d.seq = p.seq AND d.field = 'description' LEFT JOIN k o ON o.seq = p.seq AND o.field = 'promo'"""
+

@@ -37,33 +37,62 @@ def make(n=400):
     return rows
 
 
+def found(df, **kw):
+    lines = L.hashed_lines(df, "source", FIELDS, ["id"])
+    sure = L.repeated_lines(lines, FIELDS, **kw)
+    return {(r.id, r.field, r.line_no) for r in L.find_lines(lines, sure, FIELDS, "id").collect()}, sure
+
+
 def test_against_brute_force(spark):
     rows = make()
-    df = table(spark, rows)
-    sure = L.repeated_lines(df, "source", FIELDS)
-    got = {(r.id, r.field, r.line_no) for r in L.find_lines(df, sure, "source", FIELDS, "id").collect()}
+    got, _ = found(table(spark, rows))
     assert got == brute(rows) and got
 
 
+def test_by_shuffle_where_the_set_is_too_large_to_broadcast(spark, monkeypatch):
+    from petalstream.plans import session
+
+    rows = make()
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    df = table(spark, rows)
+    assert found(df)[0] == brute(rows)
+    cleaned = L.remove_lines(df, "source", FIELDS)
+    monkeypatch.undo()
+    assert sorted(map(repr, cleaned.collect())) == sorted(map(repr, L.remove_lines(df, "source", FIELDS).collect()))
+
+
+def test_sketches_of_many_tasks_merge(spark):
+    rows = make(600)
+    got, _ = found(table(spark, rows).repartition(150))
+    assert got == brute(rows)
+
+
 def test_exact_where_the_sketch_cannot_tell(spark):
     rows = make(200)
     df = table(spark, rows)
-    few = L.repeated_lines(df, "source", FIELDS, tracked=8)  # far too small: every source falls back to exact counts
-    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in L.repeated_lines(df, "source", FIELDS).collect()}
+    few = found(df, tracked=8)  # far too small: every source falls back to exact counts
+    assert few[0] == found(df)[0] == brute(rows)
 
 
 def test_removal_leaves_the_rest(spark):
     rows = [(i, "s", f"keep {i}\nSame line.\n\nend", None if i else "same LINE") for i in range(6)]
-    df = table(spark, rows).selectExpr("*", "id as line", "'x' as h")
-    out = {r.id: (r.a, r.b, r.line, r.h) for r in L.remove_lines(df, L.repeated_lines(df, "source", FIELDS), "source", FIELDS).collect()}
-    assert out == {i: (f"keep {i}\n", "" if i == 0 else None, i, "x") for i in range(6)} or out == {i: (f"keep {i}\n\nend", "" if i == 0 else None, i, "x") for i in range(6)}
+    df = table(spark, rows).selectExpr("*", "id as line", "'x' as h", "'y' as field", "'z' as salt")
+    out = {r.id: (r.a, r.b, r.line, r.h, r.field, r.salt) for r in L.remove_lines(df, "source", FIELDS).collect()}
+    assert out == {i: (f"keep {i}\n", "" if i == 0 else None, i, "x", "y", "z") for i in range(6)}
+
+
+def test_removal_keeps_repeated_rows_and_nulls(spark):
+    rows = [(1, None, "same\nown", None)] * 6 + [(2, None, None, "")]
+    out = L.remove_lines(table(spark, rows), "source", FIELDS).collect()
+    assert sorted((r.id, r.a, r.b) for r in out if r.id == 1) == [(1, "", None)] * 6
+    assert [(r.a, r.b, r.source) for r in out if r.id == 2] == [(None, "", None)]
 
 
 def test_empty_and_long(spark):
-    none = table(spark, []) if False else spark.createDataFrame([], "id long, source string, a string, b string")
-    sure = L.repeated_lines(none, "source", FIELDS)
-    assert sure.count() == 0 and L.find_lines(none, sure, "source", FIELDS, "id").count() == 0
+    none = spark.createDataFrame([], "id long, source string, a string, b string")
+    got, sure = found(none)
+    assert got == set() and sure.count() == 0 and L.remove_lines(none, "source", FIELDS).count() == 0
     long = "\n".join(f"line {i}" for i in range(20_000))
-    rows = [(i, "s", long, None) for i in range(5)]
-    df = table(spark, rows)
-    assert L.find_lines(df, L.repeated_lines(df, "source", FIELDS), "source", FIELDS, "id").count() == 100_000
+    df = table(spark, [(i, "s", long, None) for i in range(5)])
+    lines = L.hashed_lines(df, "source", FIELDS, ["id"])
+    assert L.find_lines(lines, L.repeated_lines(lines, FIELDS), FIELDS, "id").count() == 100_000
