@@ -84,6 +84,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p7_fills(spark: SparkSession, d: str) -> DataFrame:
+    """How full each container is: their number is held against the tokens of all documents over 2,048, the least possible."""
+    return packing.fills(p7_containers(spark, d), "n_tokens")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_rates": p4_rates,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p7_fills": p7_fills,
     "p8_found": p8_found,
 }
 

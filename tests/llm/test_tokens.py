@@ -80,8 +80,21 @@ def test_packing_is_whole_and_tight(spark):
     df = spark.createDataFrame([(k, n, "x") for k, n in sizes.items()], "doc_id long, n_tokens long, container string").repartition(9)
     fill = check(P.pack(df.drop("container"), "doc_id", "n_tokens").collect(), sizes, 2048)
     assert len(fill) <= math.ceil(sum(sizes.values()) / 2048 * 1.005) + 1
-    again = check(P.pack(df, "doc_id", "n_tokens", carry=3, at_once=50).collect(), sizes, 2048)
+    again = check(P.pack(df, "doc_id", "n_tokens", at_once=200).collect(), sizes, 2048)
     assert sum(again.values()) == sum(sizes.values())
+    assert len(again) <= math.ceil(sum(sizes.values()) / 2048 * 1.02) + 1  # many rounds of small tasks do nearly as well
+    f = P.fills(P.pack(df, "doc_id", "n_tokens"), "n_tokens").collect()
+    assert len(f) == len(fill) and all(r.fill + r.room == 2048 and r.room >= 0 for r in f) and sum(r.fill for r in f) == sum(sizes.values())
+
+
+def test_items_that_fit_with_none_end_the_rounds(spark):
+    df = spark.createDataFrame([(i, 1100 + i % 800) for i in range(900)], "doc_id long, n_tokens long").repartition(6)
+    rows = P.pack(df, "doc_id", "n_tokens", at_once=50).collect()
+    assert len({r.container for r in rows}) == len(rows) == 900
+    # small ones that lie in a partition of their own are mixed with them first
+    small = spark.createDataFrame([(1000 + i, 140) for i in range(900)], "doc_id long, n_tokens long").coalesce(1)
+    rows = P.pack(df.union(small), "doc_id", "n_tokens", at_once=100_000).collect()
+    assert len({r.container for r in rows}) == 900
 
 
 def test_packing_edges(spark):
