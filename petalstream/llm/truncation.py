@@ -33,8 +33,19 @@ def spaced(c: Column) -> Column:
     return F.concat_ws(" ", F.lit(START), F.nullif(lines, F.lit("")), F.lit(END))
 
 
+def _marked(t: Column) -> Column:
+    """Whether a mark of omission closes the text; only ends that can be one are matched."""
+    end = F.rtrim(t, F.lit(" \t\n\x0b\f\r"))
+    return (end.endswith("…") | end.endswith("...") | end.endswith("]")) & t.rlike(CUT_MARK)
+
+
+def _unmarked(t: Column) -> Column:
+    return F.when(_marked(t), F.regexp_replace(t, CUT_MARK, "")).otherwise(t)
+
+
 def _key(kind: str, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(kind), *cols)
+    """96 bits of two independent hashes."""
+    return F.struct(F.xxhash64(F.lit(kind), *cols).alias("k"), F.hash(F.lit(kind), *cols).alias("h"))
 
 
 def truncated(
@@ -54,7 +65,7 @@ def truncated(
     """
     base = df.select(F.col(key), F.col(source), compose(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     # the last trigram needs the last line with a token only; equal texts are told by their letters and digits
-    ended = base.select(key, source, F.explode(F.array(F.struct(F.col("t").rlike(CUT_MARK).alias("marked"), F.col("t").alias("t")))).alias("x")).select(key, source, "x.*")
+    ended = base.select(key, source, F.explode(F.array(F.struct(_marked(F.col("t")).alias("marked"), F.col("t").alias("t")))).alias("x")).select(key, source, "x.*")
     ended = ended.select(key, source, "marked", F.regexp_extract(F.when(F.col("marked"), F.regexp_replace("t", CUT_MARK, "")).otherwise(F.col("t")), UP_TO_TOKEN, 0).alias("t"))
     last = spaced(F.substring_index("t", "\n", -1))
     # a generator of one element keeps the optimizer from working an expression out anew for each use
@@ -63,7 +74,7 @@ def truncated(
     some = F.size("w") > 3
     rows = cut(rows.select(key, source, "whole", (F.col("marked") & some).alias("marked"), *[F.when(some, word(i, x)).alias(x) for i, x in enumerate("abc")]))
 
-    whole = base.select(spaced(F.regexp_replace("t", CUT_MARK, "")).alias("form"))
+    whole = base.select(spaced(_unmarked(F.col("t"))).alias("form"))
     inside = whole.select(F.explode(F.regexp_extract_all("form", F.lit(INSIDE), F.lit(1))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     inside = inside.select(F.split("g", " ").alias("w"), "n")
     at_end = F.size("w") > 3
@@ -74,16 +85,17 @@ def truncated(
 
     # what is asked of the counts: by one hash each, for the trigram, its shorter contexts, and for each beginning of its last word
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    begun = F.transform(F.sequence(F.lit(1), F.least(F.length("c") - 1, F.lit(24))), lambda k: F.substring(c, F.lit(1), k))
-    begun = F.when(F.length("c") > 1, begun).otherwise(F.array().cast("array<string>"))
+    # a beginning that is asked for is a final token, so only the lengths of these are tried: a few hundred numbers at any size
+    lengths = sorted(r.n for r in rows.where("c is not null").select(F.length("c").alias("n")).distinct().collect())
+    begun = F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda k: k < F.length("c")), lambda k: F.substring(c, F.lit(1), k))
     told = F.concat(
         F.array(_key("abc", a, b, c), _key("bc", b, c), _key("c", c), _key("ab", a, b)),
         F.transform(begun, lambda p: _key("ab-", a, b, p)), F.transform(begun, lambda p: _key("b-", b, p)),
     )
-    counts = stats.select(F.explode(told).alias("k"), "i", "t").groupBy("k").agg(F.sum("i").alias("i"), F.sum("t").alias("t"))
+    counts = stats.select(F.explode(told).alias("q"), "i", "t").groupBy("q.k", "q.h").agg(F.sum("i").alias("i"), F.sum("t").alias("t"))
     kinds = {"abc": (a, b, c), "bc": (b, c), "c": (c,), "ab": (a, b), "ab-": (a, b, c), "b-": (b, c)}
-    asked = rows.where("c is not null").select("a", "b", "c").distinct().select("a", "b", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _key(k, *v).alias("k")) for k, v in kinds.items()])).alias("q"))
-    asked = asked.select("a", "b", "c", "q.kind", "q.k").join(counts, "k", "left")
+    asked = rows.where("c is not null").select("a", "b", "c").distinct().select("a", "b", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _key(k, *v).alias("q")) for k, v in kinds.items()])).alias("x"))
+    asked = asked.select("a", "b", "c", "x.kind", "x.q.k", "x.q.h").join(counts, ["k", "h"], "left")
     of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(x))), F.lit(0))
     known = asked.groupBy("a", "b", "c").agg(*[of(k, x).alias(f"{x}_{k}") for k in kinds for x in "it"])
 
@@ -100,8 +112,8 @@ def truncated(
     stop = c.rlike(r"^\p{P}$") & (before >= 10 * least) & (here3 * 100 < before * stop_pct)
     ends_rarely = F.when(has3, rare3).when(has2, rare2).otherwise(has1 & rare1)
     flags = known.select("a", "b", "c", (ends_rarely | broken | stop).alias("is_cut"))
-    out = rows.join(flags, ["a", "b", "c"], "left")
-    return out.select(key, source, F.when(F.col("c").isNull(), False).otherwise(F.col("marked") | F.coalesce("is_cut", F.lit(False))).alias("is_cut"))
+    out = rows.where("c is not null").join(flags, ["a", "b", "c"], "left").select(key, source, (F.col("marked") | F.coalesce("is_cut", F.lit(False))).alias("is_cut"))
+    return out.unionByName(rows.where("c is null").select(key, source, F.lit(False).alias("is_cut")))  # null keys of a join would meet in one task
 
 
 def truncation_rates(found: DataFrame, source: str) -> DataFrame:

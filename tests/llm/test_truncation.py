@@ -56,3 +56,11 @@ def test_spaced_form(spark):
 
     df = spark.createDataFrame([("A 3.5 cm\n\n b. 花が",), ("",), ("\n\n",), ("x",)], "t string")
     assert [r.s for r in df.select(T.spaced(F.col("t")).alias("s")).collect()] == ["^ ^ a 0 cm $ ^ ^ b . 花 が @", "^ ^ @", "^ ^ @", "^ ^ x @"]
+
+
+def test_a_long_token_broken_off(spark):
+    """Beginnings of any length are counted: here of a token of 60 letters."""
+    long = "".join(chr(97 + i * 7 % 26) for i in range(60))
+    texts = corpus(300) + [f"Send it to {long} today." for _ in range(60)] + [f"Send it to {long[:45]}"]
+    got, _ = cut(spark, texts)
+    assert 360 in got and not got & set(range(300, 360))
