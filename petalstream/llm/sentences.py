@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,18 @@ PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’",
 OPENING = re.compile(f"[{re.escape(''.join(PAIRS))}]").finditer
 CLOSING = {k: re.compile(f"[{re.escape(v)}]").finditer for k, v in PAIRS.items()}
 LINE_END = re.compile(r"[\n\r\x0b\x0c\x85  ]+")
+CLOSES_LINE = re.compile(rf"[{re.escape(CLOSERS)}]*(?:[ \t\xa0\u2000-\u200a\u202f\u3000]*(?:{LINE_END.pattern}|\Z))")
 LIST_MARK = re.compile(r"\s*(?:\d{1,3}[.)．、]|[^\W\d_][.)]|[-*•·–—‣▪])(?=\s)")
 LABEL = re.compile(r"\s*[^\W\d_][^\s.:：!?]{0,19}(?:\s[^\s.:：!?]{1,19}){0,2}\s?[:：]\s")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 CANDIDATE = re.compile(rf"[{re.escape(FULL_STOPS + STOPS)}]+")
 THAI = "฀-๿຀-໿"
 THAI_SPACE = re.compile(rf"(?<=[{THAI}])[  ]+(?=[{THAI}]|[A-ZÀ-Þ][a-zß-ɏẠ-ỿ])")
+# Words that join a clause to the one before it, words that close a sentence politely, and marks after which a space is customary.
+THAI_LINKS = re.compile("(?:และ|หรือ|ซึ่ง|ที่(?!นี่|นั่น|โน่น)|เพราะ|เพื่อ|โดย|จึง|ก็|ว่า|กับ|ของ|ແລະ|ຫຼື|ຊຶ່ງ|ທີ່|ເພາະ|ເພື່ອ|ໂດຍ|ຈຶ່ງ|ກໍ|ວ່າ|ກັບ|ຂອງ)")
+THAI_CLOSERS = ("ค่ะ", "คะ", "ครับ", "จ้ะ", "จ้า", "ເຈົ້າ", "ຄັບ")
+THAI_MARKS = ("ๆ", "ฯ", "ໆ", "ຯ")
+DOTTED = re.compile(r"[^\W\d_]{1,3}(?:[.-][^\W\d_]{1,3})*\.[^\W\d_]{1,3}")
 ADDRESS = re.compile(r"^\S*(?:[/@\\_]|www\.)")
 DEVANAGARI = re.compile(r"[ऀ-ॿ]$")
 
@@ -77,10 +84,10 @@ def observe(text: str, put: Counter) -> None:
 def corpus_evidence(df: DataFrame, text: str) -> DataFrame:
     """(kind, a, b, n): the counts of `observe` over all texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         put: Counter = Counter()
         for b in batches:
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 if t:
                     observe(t, put)
             if len(put) > 200_000:
@@ -88,11 +95,11 @@ def corpus_evidence(df: DataFrame, text: str) -> DataFrame:
                 put.clear()
         yield rows(put)
 
-    def rows(put: Counter) -> pd.DataFrame:
-        keys = list(put)
-        return pd.DataFrame({"kind": [k[0] for k in keys], "a": [k[1] for k in keys], "b": [k[2] for k in keys], "n": [put[k] for k in keys]})
+    def rows(put: Counter) -> pa.RecordBatch:
+        kinds, a, b = zip(*put) if put else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(put.values(), pa.int64())], ["kind", "a", "b", "n"])
 
-    seen = df.select(F.col(text).alias("text")).where("text is not null").mapInPandas(count, "kind string, a string, b string, n long")
+    seen = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(count, "kind string, a string, b string, n long")
     return seen.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -115,23 +122,23 @@ def _own_evidence(docs: DataFrame, words: DataFrame, abbreviations: DataFrame) -
     Entries go to texts by a hash of the text; were two texts to share it, each would get true entries that it doesn't ask for.
     """
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = Asker()
         for b in batches:
             hs, kinds, tokens = [], [], []
-            for h, t in zip(b["h"], b["t"]):
+            for h, t in zip(b.column("h").to_pylist(), b.column("t").to_pylist()):
                 for is_word, token in asker.asked(t):
                     hs.append(h)
                     kinds.append(is_word)
                     tokens.append(token)
-            yield pd.DataFrame({"h": hs, "is_word": kinds, "a": tokens})
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(tokens, pa.string())], ["h", "is_word", "a"])
 
     none = F.lit(0).cast("long")
     entries = words.select(F.lit(True).alias("is_word"), "a", "s", "m", "d").unionByName(
         abbreviations.select(F.lit(False).alias("is_word"), "a", none.alias("s"), none.alias("m"), none.alias("d"))
     )
     hashed = docs.withColumn("h", F.xxhash64("t"))
-    asked = hashed.select("h", "t").mapInPandas(ask, "h long, is_word boolean, a string").distinct()
+    asked = hashed.select("h", "t").mapInArrow(ask, "h long, is_word boolean, a string").distinct()
     found = asked.join(entries.hint("shuffle_merge"), ["is_word", "a"]).groupBy("h").agg(
         F.collect_list(F.when(F.col("is_word"), F.struct("a", "s", "m", "d"))).alias("words"), F.collect_list(F.when(~F.col("is_word"), F.col("a"))).alias("abbreviations")
     )
@@ -154,7 +161,7 @@ class Splitter:
 
     def split(self, text: str) -> list[tuple[int, int]]:
         self.own: Counter | None = None
-        self.continued: dict[str, bool] = {}
+        self.stands: dict[str, tuple[int, int]] = {}
         self.text = text
         out: list[tuple[int, int]] = []
         at = 0
@@ -181,26 +188,36 @@ class Splitter:
         return s > m
 
     def _abbreviation(self, w: str) -> bool:
-        if len(w) == 1 and w.isalpha():
-            return True
-        if w in self.abbreviations or ("." in w and w.replace(".", "").replace("-", "").isalpha() and len(w) <= 8):
+        """Whether a token's full stop is part of it: what the document's own unambiguous occurrences tell, else what the corpus or its form does."""
+        if not w:
+            return False
+        goes_on, ends = self._own(w)
+        if goes_on:
+            return goes_on * 4 >= goes_on + ends
+        if ends > 1:
+            return False
+        if w in self.abbreviations or (len(w) == 1 and w.isalpha()) or DOTTED.fullmatch(w):
             return True
-        return bool(w) and self._goes_on(w)
+        return "." in w and self._abbreviation(w.rpartition(".")[2])  # of a sentence that follows the last one's stop without a space
 
-    def _goes_on(self, w: str) -> bool:
-        """Whether the document has the token with a full stop before a small letter or a pause."""
-        known = self.continued.get(w)
+    def _own(self, w: str) -> tuple[int, int]:
+        """How often the document has the token with a full stop before a small letter or a pause, and at the end of a line."""
+        known = self.stands.get(w)
         if known is None:
-            text, mark, known = self.text, w + ".", False
+            text, mark = self.text, w + "."
+            goes_on = ends = 0
             at = text.find(mark)
-            while at >= 0 and not known:
+            while at >= 0:
                 end = at + len(mark)
                 if not at or not text[at - 1].isalnum():
                     nxt = text[end : end + 3]
                     bare = nxt.lstrip(" \xa0")
-                    known = bool(nxt) and (nxt[0] in ",;:" or (len(bare) < len(nxt) and bare[:1].islower()))
+                    if nxt[:1] in ",;:" and nxt or (len(bare) < len(nxt) and bare[:1].islower()):
+                        goes_on += 1
+                    elif CLOSES_LINE.match(text, end):
+                        ends += 1
                 at = text.find(mark, end)
-            self.continued[w] = known
+            known = self.stands[w] = goes_on, ends
         return known
 
     def _line(self, line: str, base: int) -> list[tuple[int, int]]:
@@ -212,7 +229,7 @@ class Splitter:
         spaces = THAI_SPACE.search(line)
         if spaces:
             hidden = self._hidden(line)
-            cuts += [m.start() for m in THAI_SPACE.finditer(line) if not any(a < m.start() < b for a, b in hidden)]
+            cuts += [m.start() for m in THAI_SPACE.finditer(line) if self._thai_end(line, m) and not any(a < m.start() < b for a, b in hidden)]
             cuts = sorted(set(cuts))
         out, at = [], 0
         for c in [*cuts, len(line)]:
@@ -226,6 +243,11 @@ class Splitter:
             at = c
         return out
 
+    def _thai_end(self, line: str, m: re.Match) -> bool:
+        """Whether a space between letters of these scripts ends a sentence: not where a linking word or a customary space carries it on."""
+        before = line[: m.start()]
+        return before.endswith(THAI_CLOSERS) or not (before.endswith(THAI_MARKS) or THAI_LINKS.match(line, m.end()))
+
     def _hidden(self, line: str) -> list[tuple[int, int]]:
         """Stretches inside quotes and brackets that close in the same line."""
         out, n, done = [], len(line), 0
@@ -328,9 +350,9 @@ def sentences(df: DataFrame, text: str, key: str, floor: float = 1e-6) -> DataFr
     """(key, sent_start, sent_end): one row per sentence, in code points from 0, end exclusive, without white space at the ends.
 
     The sentences cover all but white space. A line end ends a sentence; list marks and labels go with what they open; quoted speech
-    inside a sentence doesn't split it. A full stop after an abbreviation or a number ends a sentence only before a word that starts
-    sentences elsewhere. Abbreviations, sentence starters and names are told by unambiguous occurrences in the document, else in the
-    corpus: counts over all texts, at least 3 of them at any size. What makes up at least `floor` of all counts, at most 1 / floor
+    inside a sentence doesn't split it. A space between Thai or Lao letters ends one unless a linking word follows or a customary space stands there. A full stop after an abbreviation or a number ends a sentence only before a word that starts
+    sentences elsewhere. Abbreviations, sentence starters and names are told by unambiguous occurrences in the document first, for and against,
+    and only where it has none by the corpus: counts over all texts, at least 3 of them at any size. What makes up at least `floor` of all counts, at most 1 / floor
     entries, is broadcast; the rest, if there is any, is joined to the texts that ask for it. Null, empty and blank texts give no rows;
     equal texts count for each key.
     """
@@ -345,18 +367,20 @@ def sentences(df: DataFrame, text: str, key: str, floor: float = 1e-6) -> DataFr
     if least > 3:  # else all is broadcast
         docs = _own_evidence(docs, words.where(~often), abbreviations.where(~named))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(*shared.value)
         for b in batches:
-            keys, starts, ends = [], [], []
-            none = [None] * len(b)
-            for k, t, w, a in zip(b["k"], b["t"], b.get("words", none), b.get("abbreviations", none)):
-                splitter.joined(w, a)
-                for s, e in splitter.split(t):
-                    keys.append(k)
-                    starts.append(s)
-                    ends.append(e)
-            yield pd.DataFrame({key: keys, "sent_start": starts, "sent_end": ends})
+            at, starts, ends = [], [], []
+            joined = "words" in b.schema.names
+            own = zip(b.column("words").to_pylist(), b.column("abbreviations").to_pylist()) if joined else repeat((None, None))
+            for i, (t, (w, a)) in enumerate(zip(b.column("t").to_pylist(), own)):
+                if joined:
+                    splitter.joined(w, a)
+                spans = splitter.split(t)
+                at += [i] * len(spans)
+                starts += [s for s, _ in spans]
+                ends += [e for _, e in spans]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [key, "sent_start", "sent_end"])
 
     kind = df.schema[key].dataType.simpleString()
-    return docs.mapInPandas(run, f"`{key}` {kind}, sent_start long, sent_end long")
+    return docs.mapInArrow(run, f"`{key}` {kind}, sent_start long, sent_end long")

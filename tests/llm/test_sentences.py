@@ -33,6 +33,29 @@ def test_the_document_overrules_the_corpus():
     assert parts("Công ty abc. là tốt. Gặp abc. Hạ ở đây.") == ["Công ty abc. là tốt.", "Gặp abc. Hạ ở đây."]
 
 
+def test_the_document_overrules_the_corpus_both_ways():
+    splitter = S.Splitter(WORDS, {"ly": True})
+    text = "Thêm hai ly.\nCần ba ly.\nĐể bốn ly.\nRót năm ly.\nĐặt trên ly. Hạ ở đây."
+    assert [text[a:b] for a, b in splitter.split(text)][-2:] == ["Đặt trên ly.", "Hạ ở đây."]
+    short = "Đặt trên ly. Hạ ở đây."
+    assert len(splitter.split(short)) == 1  # no evidence of its own: the corpus tells
+
+
+def test_thai_spaces_that_carry_on():
+    assert parts("ดอกไม้สวยมากค่ะ และส่งเร็ว") == ["ดอกไม้สวยมากค่ะ", "และส่งเร็ว"]
+    assert parts("ร้านนี้มีดอกกุหลาบ ซึ่งสดมาก ต้องลองสั่ง") == ["ร้านนี้มีดอกกุหลาบ ซึ่งสดมาก", "ต้องลองสั่ง"]
+    assert parts("ของต่างๆ ในร้านสวย") == ["ของต่างๆ ในร้านสวย"]
+    assert parts("ที่ร้านมีช่อใหญ่ ที่นี่ส่งฟรี") == ["ที่ร้านมีช่อใหญ่", "ที่นี่ส่งฟรี"]
+
+
+def test_an_abbreviation_glued_to_the_sentence_before():
+    assert parts("Hoa và giấy kraft.TS. Hạ Thư nói.")[-1] == "TS. Hạ Thư nói."
+
+
+def test_dotted_tokens_of_any_length():
+    assert parts("Gửi T.P.H.C.M.C.N. Hạ nhận.") == ["Gửi T.P.H.C.M.C.N. Hạ nhận."]
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "...", "\"", "“((", "a" * 100_000, "x. " * 5000, "́.", "?!​"])
 def test_everything_but_space_is_covered(text):
     spans = S.Splitter().split(text)
