@@ -7,7 +7,7 @@ import html
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,6 +39,7 @@ SEQUENCE = re.compile(
 )
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 ESCAPE = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{2,7}|#[xX][0-9A-Fa-f]{2,6});|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+BETWEEN = re.compile("([ \n\t\r])")
 BUCKETS = 1 << 20
 #: Marks that stand in sound texts of all languages: alone they tell nothing of the page.
 COMMON_MARKS = frozenset("…“”‘’–—„«»•‹›")
@@ -131,11 +132,12 @@ def trigram_counts(df: DataFrame, fields: Sequence[str]) -> np.ndarray:
 class Searcher:
     """Looks for the cheapest text reachable from a segment (a stretch without white space)."""
 
-    def __init__(self, counts: np.ndarray, least: float = 8.0, least_pages: float = 9.0, common: float = 2e-5):
+    def __init__(self, counts: np.ndarray, least: float = 8.0, least_pages: float = 9.0, common: float = 2e-5, budget: int = 2048):
         self.total = max(1, int(counts.sum()))
         self.price = (math.log(self.total + 1) - np.log(counts + 0.3)).tolist()
         self.common = math.log(self.total + 1) - math.log(max(3.0, self.total * common))
-        self.least, self.least_pages = least, least_pages
+        self.least, self.least_pages, self.budget = least, least_pages, budget
+        self.exhausted = False  # whether a search since the last look met the budget
         pages = {name: _page(name) for name in {*PAGES, "tcvn3"}}
         # to characters numbered as the bytes; other characters from 0x80 move out of the way
         self.to_bytes = {}
@@ -256,13 +258,14 @@ class Searcher:
             text = text if new is None else new
         return text, whole
 
-    def search(self, segment: str) -> tuple[str | None, str | None, list[tuple[tuple, float]]]:
-        """(surely meant text, likely meant text, [(path, gain)]): what can be made of a segment by UTF-8 repairs, and by paths with an exchange of pages.
+    def search(self, segment: str) -> tuple[str | None, str | None, list[tuple[tuple, float]], tuple]:
+        """(surely meant text, likely meant text, [(path, gain)], path of the surely meant text): what can be made of a segment by UTF-8 repairs, and by paths with an exchange of pages.
 
-        Best first: the cheapest open text is expanded next; texts already seen (by hash) are not opened again, nor are texts dearer than
-        the segment itself, without its escapes: these have no price, and all of their layers are opened. Shorter alone is no gain: of the
-        texts reached without an exchange, that of the most common trigrams on average is taken, which must not be rarer than the old ones,
-        and in a sure case more common. Exchanges start from every text reached but by an exchange, and what they lead to is expanded in turn.
+        Best first: the cheapest open text is expanded next; texts already seen (by hash) are not opened again. A text dearer than the segment
+        may lead to a cheaper one, so only a budget of texts ends the search early, which sets `exhausted`. Escapes have no price: the start is
+        the price without them, and all of their layers are opened. Shorter alone is no gain: of the texts reached without an exchange, that of the most common trigrams on average is taken, which must not be rarer than the old ones,
+        and in a sure case more common. Exchanges start from every text reached that is not dearer than the start, and what they lead to is expanded in turn as long as it
+        becomes cheaper than the start: any text can be exchanged into many, of which some fit by chance a few dear steps on.
         """
         forms = layers(segment)
         start, n, worst = self.cost(forms[-1])
@@ -271,6 +274,7 @@ class Searcher:
         visited = {*map(hash, forms)}
         heapq.heapify(heap)
         sure = likely = None
+        sure_path: tuple = ()
         mean = start / max(1, n) + 1
         reached, pages = [], []
 
@@ -279,35 +283,41 @@ class Searcher:
                 if hash(new) in taken:
                     continue
                 taken.add(hash(new))
-                c, k, _ = self.cost(new)
-                if c >= start or any(unicodedata.category(ch) in ("Co", "Cn") for ch in new if ch > "\xff"):
+                if any(unicodedata.category(ch) in ("Co", "Cn") for ch in new if ch > "\xff"):
                     continue
+                c, k, _ = self.cost(new)
                 yield new, (*path, op), c, k
 
-        while heap:
+        left = self.budget
+        while heap and left:
+            left -= 1
             _, text, path = heapq.heappop(heap)
             reached.append((text, path))
             for new, way, c, k in expand(text, path, visited):
                 heapq.heappush(heap, (c, new, way))
                 if start - c > self.least and c / max(1, k) <= mean:
-                    mean, likely = c / max(1, k), new
+                    mean, likely, sure_path = c / max(1, k), new, way
                     sure = new if mean <= start / max(1, n) - 1 else None
-        while reached and sure is None:
+        while reached and sure is None and left:
             text, path = reached.pop()
             cost = self.cost(text)
-            if text in forms[:-1]:
+            if text in forms[:-1] or cost[0] > start:
                 continue
             for op, new, c in self.exchanged(text, cost):
                 way = (*path, op)
                 if c < min(cost[0], start):
                     pages.append((self.paths.setdefault(way, way), min(cost[0], start) - c))
                 open_, taken = [(new, way)], {*visited, hash(new)}
-                while open_:
+                while open_ and left:
+                    left -= 1
                     for after, on, x, k in expand(*open_.pop(), taken):
+                        if x >= start:
+                            continue
                         if x / max(1, k) <= start / max(1, n) - 1:
                             pages.append((self.paths.setdefault(on, on), k * start / max(1, n) - x))  # shorter alone is no gain here either
                         open_.append((after, on))
-        return sure, likely, pages
+        self.exhausted |= not left
+        return sure, likely, pages, self.paths.setdefault(sure_path, sure_path) if sure is not None else ()
 
     def judge(self, value: str) -> str | None:
         """The restored text if the value is garbled, in whole or in part, else None. What cannot be restored stays as it is."""
@@ -319,30 +329,33 @@ class Searcher:
 
     def mend(self, value: str) -> str | None:
         """The value with the operations undone that its segments, or all of them together, bear out at once, or None."""
-        segments = value.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        pieces = BETWEEN.split(value)
+        segments = pieces[::2]
         found: dict[str, str] = {}
         likely: dict[str, str] = {}
         others: list[str] = []
         sums: dict[tuple, float] = {}
+        ways: Counter = Counter()
         known = self.known
         quoted = "“" in value
         for s in segments:
             if s.isascii() and "&" not in s and "\\" not in s:
                 continue
             if quoted and s[-1:] == "”":
-                s = s[:-1]
+                s = s[:-1]  # the mark is a byte of common pages too, but here it closes what “ opens
             try:
                 r = known[s]
             except KeyError:
                 if len(known) > 300_000:
                     known.clear()
                 r = self.search(s)
-                r = known[s] = r if any(r) else None
+                r = known[s] = r if any(r[:3]) else None
             if r is None:
                 others.append(s)
                 continue
             if r[0] is not None:
                 found[s] = r[0]
+                ways[r[3]] += 1
                 continue
             if r[1] is not None:
                 likely[s] = r[1]
@@ -351,6 +364,11 @@ class Searcher:
                 sums[name] = sums.get(name, 0.0) + gain
         if found:
             found = likely | found
+            way = max(ways, key=lambda x: (ways[x], -len(x)))
+            for s in {*others} - found.keys():  # what bytes were lost from doesn't become common, but goes the way of the others
+                new, _ = self.follow(way, s)
+                if new != s and self.cost(new)[0] < self.cost(layers(s)[-1])[0]:
+                    found[s] = new
         sums = {path: total - self.doubt(path) for path, total in sums.items()}
         for path in sorted(sums, key=sums.__getitem__, reverse=True):
             if sums[path] < self.least_pages:
@@ -364,8 +382,13 @@ class Searcher:
                 break
         if not found:
             return None
-        pattern = re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True))))
-        return pattern.sub(lambda m: found[m[0]], value)
+        for i in range(0, len(pieces), 2):
+            s = pieces[i]
+            if quoted and s[-1:] == "”" and s not in found:
+                pieces[i] = found.get(s[:-1], s[:-1]) + "”"
+            else:
+                pieces[i] = found.get(s, s)
+        return "".join(pieces)
 
 
 def garbled(df: DataFrame, fields: Sequence[str], key: str) -> DataFrame:
