@@ -38,23 +38,26 @@ NULL_RATES = ("title", "description", "price_raw", "price_vnd", "image")
 HASH_CONTRACT = "[0-9a-f]{16}"
 
 
-def _profiled(spark: SparkSession, d: str, numbers: Sequence[str] = NUMBERS, ranges: bool = False) -> tuple[DataFrame, dict[str, list[str]]]:
-    products = spread(table(spark, d, "products").select("load_id", *numbers, *TEXTS))
-    return profile.profile(products, "load_id", TEXTS, numbers, {"content_hash": HASH_CONTRACT}, ranges=ranges)
+def _profiled(
+    spark: SparkSession, d: str, texts: Sequence[str] = TEXTS, numbers: Sequence[str] = NUMBERS, counted: Sequence[str] = (), ranges: bool = False, expressions: dict[str, list[str]] | None = None
+) -> tuple[DataFrame, dict[str, list[str]]]:
+    products = spread(table(spark, d, "products").select("load_id", *numbers, *texts, *counted))
+    return profile.profile(products, "load_id", texts, numbers, {c: HASH_CONTRACT for c in texts if c == "content_hash"}, expressions, ranges, counted)
 
 
-def _load_metrics(profiled: DataFrame) -> DataFrame:
-    """One row per load with the published metrics, rates in units of the fourth decimal, rounded down."""
+def _load_metrics(profiled: DataFrame, expressions: dict[str, list[str]]) -> DataFrame:
+    """One row per load with the published metrics, rates in units of the fourth decimal, rounded down. Violations are of the expression that was
+    induced for the hashes; where it isn't the contract, the contract's are counted, the exact check."""
     of = lambda c, x: F.max(F.when(F.col("column") == c, F.col(x)))
     empty = lambda c: of(c, "n_null") - of(c, "n_missing")
     distinct = lambda c: of(c, "n_distinct") + (empty(c) > 0).cast("long")
     n = F.max("n_rows")
     units = lambda x: ((x * 10000 - (x * 10000) % n) / n).cast("long")
+    broken = of("content_hash", "n_violations" if expressions.get("content_hash") == [HASH_CONTRACT] else "n_contract")
     return profiled.groupBy("load_id").agg(
         n.alias("documents"), *[units(of(c, "n_null")).alias(f"null_rate.{c}") for c in NULL_RATES], units(n - of("price_vnd", "n_missing")).alias("price_parse_rate"),
         distinct("url").alias("distinct_urls"), (n - distinct("url")).alias("duplicate_urls"),
-        (n - of("content_hash", "n_missing") - distinct("content_hash")).alias("duplicate_content_hashes"),
-        (of("content_hash", "n_violations") + empty("content_hash")).alias("hash_pattern_violations"),
+        (n - of("content_hash", "n_missing") - distinct("content_hash")).alias("duplicate_content_hashes"), (broken + empty("content_hash")).alias("hash_pattern_violations"),
         of("price_vnd", "n_min").alias("price_vnd_min"), of("price_vnd", "n_max").alias("price_vnd_max"),
         units(n - distinct("url")).alias("duplicate_share"),
     )
@@ -107,8 +110,8 @@ COUNTS = ("documents", "distinct_urls", "duplicate_urls", "duplicate_content_has
 )
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The published reports that differ from the profiles, and the shifts between loads of a run."""
-    profiled, _ = _profiled(spark, d, ("price_vnd",))
-    measured = cut(_load_metrics(profiled))
+    profiled, expressions = _profiled(spark, d, ("url", "content_hash"), ("price_vnd",), ("title", "description", "price_raw", "image"))
+    measured = cut(_load_metrics(profiled, expressions))
     published = table(spark, d, "quality_corrupt")
     rows = published.select(
         "load_id", "run_id", "load_no", F.struct(*[F.col(c).cast("double").alias(c) for c in COUNTS], *[F.col(c).alias(c) for c in RATES]).alias("p")
@@ -142,6 +145,32 @@ def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     return profile.coverage_changes(profiled, "load_id", table(spark, d, "quality_corrupt"), "run_id", "load_no")
 
 
+#: Expressions of an agreement, for a profile that induces none.
+AGREED = {"url": ["https?://[a-z0-9.-]+(?:/[^?#]*)?"], "content_hash": [HASH_CONTRACT], "price_raw": ["[0-9][0-9.]* ?₫", "[0-9]+k"]}
+
+
+def _agreed_sql() -> str:
+    plain = lambda c: f"CAST({c} AS VARCHAR)"
+    micros = lambda c: f"epoch_us({c})" if c == "crawled_at" else c
+    parts = []
+    for c in (*TEXTS, *NUMBERS):
+        text = c in TEXTS
+        bad = f"count(*) FILTER ({c} <> '' AND NOT regexp_full_match({c}, '{'|'.join(AGREED[c])}'))" if c in AGREED else "0" if text else "NULL::BIGINT"
+        broken = f"count(*) FILTER ({c} <> '' AND NOT regexp_full_match({c}, '{HASH_CONTRACT}'))" if c == "content_hash" else "NULL::BIGINT"
+        ends = "NULL::BIGINT AS n_min, NULL::BIGINT AS n_max" if text else f"min({micros(c)}) AS n_min, max({micros(c)}) AS n_max"
+        parts.append(
+            f"SELECT load_id, '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({c} IS NULL OR {plain(c)} = '') AS n_null, count(*) - count({c}) AS n_missing, "
+            f"count(*) FILTER ({plain(c)} <> '') AS n_values, count(DISTINCT nullif({plain(c)}, '')) AS n_distinct, {bad} AS n_violations, {broken} AS n_contract, {ends} FROM products GROUP BY load_id"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("p5_agreed", _agreed_sql())
+def p5_agreed(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every column by load for expressions that were agreed on, as those of an earlier load."""
+    return _profiled(spark, d, expressions={c: [profile.ANY] for c in TEXTS} | AGREED)[0]
+
+
 # ---- text columns
 
 TOK = r"[\p{L}\p{N}_]+"

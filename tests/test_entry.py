@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, data, con, name):
     assert got == sorted(repr(tuple(norm(r[at.index(c)]) for c in cols)) for r in res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and n[0] != "p"))
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql()))
 def test_other_queries_run(spark, data, name):
     assert entry.queries()[name](spark, data).count() > 0
 
