@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petalstream.plans.session import cut, shuffle_width
+from petalstream.plans.session import cut, shuffle_width, small
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -36,14 +36,31 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank"
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
-    sizes = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).collect()  # a count a partition
     shift, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        shift.append(total)
-        total += sizes.get(p, 0)
-    base = F.get(F.array(*[F.lit(x).cast("long") for x in shift or [0]]), part.cast("int"))
+    for r in sorted(sizes, key=lambda r: r["__p"]):
+        shift.append((r["__p"], total))
+        total += r["__n"]
+    starts = df.sparkSession.createDataFrame(shift, "__p long, __start long")
     local = F.col("__at") - F.shiftleft(part, 33)
-    return placed.withColumn(name, base + local + 1).drop("__at")
+    ranked = placed.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    return ranked.withColumn(name, F.col("__start") + local + 1).select(*df.columns, name)
+
+
+def shuffled(df: DataFrame, keys: Sequence[str], seed: int = 42, name: str = "seq") -> DataFrame:
+    """The rows in an order drawn by the seed from their keys, which is their new number from 0, whatever the partitioning. Keys should be unique."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    ranked = global_rank(df.drop(name).withColumn("__draw", draw) if name not in keys else df.withColumn("__draw", draw), ["__draw", *[k for k in keys if k != name]], "__rank")
+    return ranked.withColumn(name, F.col("__rank") - 1).drop("__draw", "__rank")
+
+
+def zip_strict(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of two tables side by side by a key that both hold once each; another number of rows, or a key of one side only, is an error."""
+    both = cut(left.withColumn("__l", F.lit(1)).join(right.withColumn("__r", F.lit(1)), key, "full"))
+    n, a, b, keys = both.agg(F.count("*"), F.count("__l"), F.count("__r"), F.count_distinct(key)).first()
+    if not n == a == b == keys:
+        raise ValueError(f"the sides don't fit: {a} rows and {b} rows, {keys} keys in {n} pairs")
+    return both.drop("__l", "__r")
 
 
 def order_statistics(df: DataFrame, value: str, percents: Sequence[float], digits: int = 6) -> DataFrame:
@@ -72,31 +89,33 @@ def cumulative(ranked: DataFrame, rank: str, value: str, name: str, block: int =
     totals = blocks.groupBy("__b").agg(F.sum(value).alias("__t"))
     starts = totals.select("__b", (F.sum("__t").over(Window.orderBy("__b")) - F.col("__t")).alias("__s"))
     inner = F.sum(value).over(Window.partitionBy("__b").orderBy(rank))
-    return blocks.withColumn("__own", inner).join(F.broadcast(starts), "__b").withColumn(name, F.col("__own") + F.col("__s")).drop("__b", "__own", "__s")
+    return blocks.withColumn("__own", inner).join(small(cut(starts)), "__b").withColumn(name, F.col("__own") + F.col("__s")).drop("__b", "__own", "__s")
 
 
 def greedy_distinct(df: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
     """The rows kept by going through them in order and dropping each one that shares a key with a row kept before it.
 
-    A dropped row doesn't count for its other keys. Rounds of group minima, never pairs: the first row of all its groups is kept, a row
-    behind a kept one in any of its groups is dropped, the rest waits for the next round. Null keys match nothing. `order` must be unique.
+    A dropped row doesn't count for its other keys. Rounds over the open rows, never pairs: a row that is the first of all its groups is kept,
+    the others of its groups are dropped, and what is left waits for the next round, of which there are as many as the longest chain of rows each
+    hidden by the one before. A row is looked up by (key, order), so a hot group is spread; null keys match nothing and stay apart. `order` must be unique;
+    rows without it are left out.
     """
-    state = cut(df.select(order, *keys).withColumn("__s", F.lit(0)))  # 0 open, 1 kept, 2 dropped
-    while True:
+    own = lambda k: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.concat(F.lit("!"), F.col(order).cast("string"))).alias(k)
+    open_ = cut(df.where(F.col(order).isNotNull()).select(order, *map(own, keys)))
+    kept: list[DataFrame] = []
+    while not open_.isEmpty():
+        leads = open_
         for k in keys:
-            live = state.where(F.col(k).isNotNull() & (F.col("__s") < 2)).groupBy(k)
-            firsts = live.agg(F.min(F.when(F.col("__s") == 1, F.col(order))).alias(f"__kept_{k}"), F.min(order).alias(f"__first_{k}"))
-            state = state.join(firsts, k, "left")
-        behind = F.lit(False)
-        leads = F.lit(True)
+            leads = leads.join(open_.groupBy(k).agg(F.min(order).alias(order)), [k, order], "left_semi")
+        leads = cut(leads)
+        kept.append(leads.select(order))
         for k in keys:
-            behind |= F.coalesce(F.col(f"__kept_{k}") < F.col(order), F.lit(False))
-            leads &= F.coalesce(F.col(f"__first_{k}") == F.col(order), F.lit(True))
-        now = F.when(F.col("__s") > 0, F.col("__s")).when(behind, 2).when(leads, 1).otherwise(0)
-        state = cut(state.select(order, *keys, now.alias("__s")))
-        if state.where("__s = 0").isEmpty():
-            break
-    return df.join(state.where("__s = 1").select(order), order, "left_semi")
+            open_ = open_.join(small(leads.select(k)), k, "left_anti")
+        open_ = cut(open_)
+    every = kept[0] if kept else open_.select(order)
+    for k in kept[1:]:
+        every = every.unionByName(k)
+    return df.join(every, order, "left_semi")
 
 
 def greedy_independent(nodes: DataFrame, order: str, pairs: DataFrame) -> DataFrame:

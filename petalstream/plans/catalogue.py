@@ -314,36 +314,102 @@ def keep_first_url(spark: SparkSession, d: str) -> DataFrame:
 DRAW = "('0x' || left(md5(concat_ws(':', '42', '{0}', seq)), 8))::BIGINT / 4294967296.0"
 
 
-@query("corrupt_summary", "SELECT label, count(*) AS n FROM (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS label FROM products WHERE {DRAW.format(k)} < {r}" for k, r in (("missing_field", 0.08), ("boilerplate_flood", 0.25), ("truncation", 0.08), ("mojibake", 0.06), ("duplication", 0.05))
-) + ") GROUP BY label")
+_CLONE = "['//', '/?utm_source=google', '/?ref=fb'][floor(" + DRAW.format("form") + " * 3)::INT + 1]"
+_LATIN = "array_to_string(list_transform(range(0, octet_length(encode({0}))::BIGINT), lambda i: chr(('0x' || substr(hex(encode({0})), (2 * i + 1)::BIGINT, 2))::INT)), '')"
+_HIT = {k: f"({DRAW.format(k)} < {r})" for k, r in states.RATES.items()}
+_WHICH = f"floor({DRAW.format('field')} * 2)"
+CORRUPT = f"""
+    c0 AS (SELECT seq, url, CASE WHEN {_HIT['missing_field']} AND {_WHICH} = 1 THEN '' ELSE coalesce(title, '') END AS title,
+        CASE WHEN {_HIT['missing_field']} AND {_WHICH} = 0 THEN '' ELSE coalesce(description, '') END AS body FROM products),
+    c1 AS (SELECT seq, url, title, CASE WHEN {_HIT['boilerplate_flood']} THEN '{states.FLOOD}' || ' ' || body ELSE body END AS body FROM c0),
+    c2 AS (SELECT seq, url, title, CASE WHEN {_HIT['truncation']} THEN left(body, floor({DRAW.format('length')} * 26)::INT) ELSE body END AS body FROM c1),
+    c3 AS (SELECT seq, url, CASE WHEN {_HIT['mojibake']} THEN {_LATIN.format('title')} ELSE title END AS title, CASE WHEN {_HIT['mojibake']} THEN {_LATIN.format('body')} ELSE body END AS description,
+        list_filter([CASE WHEN {_HIT['missing_field']} THEN 'missing_field' END, CASE WHEN {_HIT['boilerplate_flood']} THEN 'boilerplate_flood' END,
+          CASE WHEN {_HIT['truncation']} THEN 'truncation' END, CASE WHEN {_HIT['mojibake']} THEN 'mojibake' END], lambda x: x IS NOT NULL) AS labels FROM c2),
+    bad AS (SELECT * FROM c3 UNION ALL SELECT seq, regexp_replace(url, '/+$', '') || {_CLONE}, title, description, ['duplication'] FROM c3 WHERE {_HIT['duplication']})"""
+
+
+def _corrupted(spark: SparkSession, d: str) -> DataFrame:
+    return states.corrupt(table(spark, d, "products").select("seq", "url", "title", "description"), "seq", "url", "title", "description")
+
+
+@query("corrupted", f"WITH {CORRUPT} SELECT seq, url, md5(title) AS title, md5(description) AS description, labels FROM bad")
+def corrupted(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged table itself, texts by their digest."""
+    return _corrupted(spark, d).withColumns({c: F.md5(c) for c in ("title", "description")})
+
+
+@query("corrupt_summary", f"WITH {CORRUPT} SELECT l AS label, count(*) AS n, sum(length(description)) AS chars FROM (SELECT unnest(labels) AS l, description FROM bad) GROUP BY l")
 def corrupt_summary(spark: SparkSession, d: str) -> DataFrame:
-    products = table(spark, d, "products").select("seq", "url", "title", "description")
-    return states.corrupt(products, "seq", "url", "title", "description").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    rows = _corrupted(spark, d).select("description", F.explode("labels").alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("description")).alias("chars"))
+
+
+@query("urls_with_label", f"WITH {CORRUPT} SELECT DISTINCT url FROM bad WHERE list_contains(labels, 'mojibake')")
+def urls_with_label(spark: SparkSession, d: str) -> DataFrame:
+    return states.urls_with(_corrupted(spark, d).select("url", F.explode("labels").alias("label")), "mojibake")
+
+
+@query("shuffled_rows", "SELECT row_number() OVER (ORDER BY md5(concat_ws(':', '42', 'shuffle', seq::VARCHAR)), seq) - 1 AS place, seq FROM products")
+def shuffled_rows(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.shuffled(table(spark, d, "products").select("seq"), ["seq"], name="place")
+
+
+def _mended(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The damaged table in a drawn order, and the same mended."""
+    bad = cut(ordering.shuffled(_corrupted(spark, d), ["url", "seq"]))
+    return bad, states.mend(bad, "seq", "url", "title", "description", min_share=0.005)
 
 
 @query("repair_scores")
 def repair_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Damage is found again: precision, recall and F1 of each label against the truth."""
-    first = ordering.keep_first(table(spark, d, "products").select("url", "seq", "title", "description"), ["url"], ["seq"])
-    bad = states.corrupt(first, "seq", "url", "title", "description").withColumn("id", F.concat("url", F.col("seq").cast("string")))
-    bad = cut(bad)
-    found = states.detect(bad, "id", "url", "title", "description").select("url", F.explode("found").alias("label"))
-    return states.prf(bad.select("url", F.explode("labels").alias("label")), found)
+    """Damage is found again: precision, recall and F1 of each label, and of any, against the truth."""
+    bad, mended = _mended(spark, d)
+    truth, found = bad.select("url", F.explode("labels").alias("label")), cut(mended.select("url", F.explode("found").alias("label")))
+    return states.prf(truth, found).unionByName(states.any_defect(truth, found))
 
 
 @query("repaired")
 def repaired(spark: SparkSession, d: str) -> DataFrame:
-    products = table(spark, d, "products").select("seq", "url", "title", "description")
-    bad = states.corrupt(products, "seq", "url", "title", "description").drop("labels")
-    return states.repair(ordering.global_rank(bad.drop("seq"), ["url", "title", "description"], "seq"), "seq", "url", "title", "description").select("url", "title")
-
-
-@query("strip_repeated")
+    return _mended(spark, d)[1].where("kept").select("url", "title", "description", "new_hash")
+
+
+# sentences are told as by a split after a stop: RE2 has no look-behind
+_PARTS = r"""
+    s0 AS (SELECT {key}, string_split(regexp_replace(coalesce({text}, ''), '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM {table}),
+    s1 AS (SELECT {key}, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM s0),
+    s2 AS (SELECT *, regexp_extract_all(lower(s), '{TOK}') AS t FROM s1),
+    sh AS (SELECT token FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce({text}, '')), '{TOK}'))) AS token FROM {table}) GROUP BY token
+           HAVING count(*) >= 0.6 * (SELECT count(*) FROM {table} WHERE {text} <> '')),
+    sg AS (SELECT {key}, pos, unnest(list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' ')))) AS g FROM s2 WHERE len(t) >= 8),
+    b1 AS (SELECT {key}, pos, count(r.g) * 2 >= count(*) AS bad FROM sg LEFT JOIN r USING (g) GROUP BY {key}, pos),
+    b2 AS (SELECT {key}, pos, count(sh.token) >= 0.85 * count(*) AS bad FROM (SELECT {key}, pos, unnest(t) AS token FROM s2) LEFT JOIN sh USING (token) GROUP BY {key}, pos),
+    kept AS (SELECT s2.{key}, trim(string_agg(s, ' ' ORDER BY s2.pos)) AS k FROM s2 LEFT JOIN b1 ON b1.{key} = s2.{key} AND b1.pos = s2.pos LEFT JOIN b2 ON b2.{key} = s2.{key} AND b2.pos = s2.pos
+             WHERE len(t) > 0 AND NOT coalesce(b1.bad, false) AND NOT coalesce(b2.bad, false) GROUP BY s2.{key})"""
+_BAD = "Ã[\\x{80}-\\x{BF}]|á»|áº|Æ°|Ä‘|â€"
+_JUNK = "lower(trim(coalesce({0}, ''))) IN ('', 'nan', 'none', 'null', '<na>', 'na')"
+
+
+@query("strip_repeated", f"WITH {GRAMS}, {_PARTS.replace('{TOK}', TOK).replace('{key}', 'doc_id').replace('{text}', 'text').replace('{table}', 'documents')} SELECT doc_id, coalesce(nullif(k, ''), text) AS text FROM documents LEFT JOIN kept USING (doc_id)")
 def strip_repeated(spark: SparkSession, d: str) -> DataFrame:
     return states.strip_repeated(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", 0.005)
 
 
+@query("detected", f"""
+    WITH {GRAMS.replace('documents', 'products').replace('doc_id', 'seq').replace('text', 'description')},
+    v AS (SELECT seq, round(count(r.g) / count(*), 9) AS share FROM g LEFT JOIN r USING (g) GROUP BY seq),
+    x AS (SELECT p.*, {_JUNK.format('title')} OR {_JUNK.format('description')} AS missing, regexp_matches(coalesce(title, ''), '{_BAD}') OR regexp_matches(coalesce(description, ''), '{_BAD}') AS garbled,
+        CASE WHEN {_JUNK.format('description')} AND trim(coalesce(description, '')) <> '' THEN '' ELSE coalesce(description, '') END AS fixed FROM products p)
+    SELECT x.seq, missing, garbled, CASE WHEN NOT garbled THEN length(fixed) BETWEEN 1 AND 29 END AS truncated, CASE WHEN NOT garbled THEN coalesce(share, 0) >= 0.3 END AS flooded FROM x LEFT JOIN v USING (seq)""")
+def detected(spark: SparkSession, d: str) -> DataFrame:
+    """The damage that `products` shows as it is. Of garbled texts, which SQL doesn't restore, only that."""
+    rows = table(spark, d, "products").select("seq", "url", "title", "description")
+    found = states.detect(rows, "seq", "url", "title", "description", min_share=0.005)
+    has = lambda x: F.array_contains("found", x)
+    sound = lambda x: F.when(~has("mojibake"), has(x))
+    return found.select("seq", has("missing_field").alias("missing"), has("mojibake").alias("garbled"), sound("truncation").alias("truncated"), sound("boilerplate_flood").alias("flooded"))
+
+
 # ---- retrieval
 
 DOT = "list_inner_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[])"

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from petalstream.operators import citations as C
 from petalstream.operators import evalset as V
+from petalstream.operators import ordering as O
 from petalstream.operators import quality as Q
 from petalstream.operators import states as S
+from petalstream.plans.session import cut
 
 WORDS = "hoa hồng lan cúc bó giỏ kệ tặng sinh nhật tươi trắng đỏ vàng xanh tím nhỏ lớn đẹp mềm".split()
 
@@ -20,19 +22,76 @@ def catalogue(spark, n):
     return spark.createDataFrame(rows, "seq long, url string, title string, description string")
 
 
+def damaged(spark, n=240, **kw):
+    bad = S.corrupt(catalogue(spark, n), "seq", "url", "title", "description", **kw)
+    return bad, O.shuffled(bad, ["url", "seq"])
+
+
 def test_damage_is_deterministic_and_found_again(spark):
     df = catalogue(spark, 240)
-    bad = S.corrupt(df, "seq", "url", "title", "description").withColumn("id", F.concat("url", F.col("seq").cast("string")))
+    bad, mixed = damaged(spark)
     again = S.corrupt(df.repartition(3), "seq", "url", "title", "description")
     key = lambda d: sorted((r.url, r.description, tuple(r.labels)) for r in d.collect())
     assert key(bad) == key(again) and key(bad) != key(S.corrupt(df, "seq", "url", "title", "description", seed=1))
     assert df.count() == 240
-    found = S.detect(bad, "id", "url", "title", "description").select("url", F.explode("found").alias("label"))
-    scores = S.prf(bad.select("url", F.explode("labels").alias("label")), found, labels=[x for x in S.LABELS if x != "non_product_page"])
-    assert S.macro_f1(scores).first().macro_f1 > 0.6
-    fixed = S.repair(bad.drop("labels", "id"), "seq", "url", "title", "description")
-    urls = [r.url for r in fixed.collect()]
-    assert len(urls) == len(set(urls)) and not any("?" in u for u in urls)
+    mixed = cut(mixed)
+    mended = cut(S.mend(mixed, "seq", "url", "title", "description"))
+    found = mended.select("url", F.explode("found").alias("label"))
+    truth = mixed.select("url", F.explode("labels").alias("label"))
+    scores = {r.label: r for r in S.prf(truth, found).collect()}
+    assert S.macro_f1(S.prf(truth, found)).first().macro_f1 > 0.6 and scores["duplication"].f1 > 0.9 and scores["mojibake"].f1 > 0.9
+    assert S.any_defect(truth, found).first().f1 > 0.8
+    assert S.urls_with(truth, "mojibake").count() == scores["mojibake"].tp + scores["mojibake"].fn
+    kept = mended.where("kept").collect()
+    urls = [r.url for r in kept]
+    assert len(urls) == len(set(urls)) and not any("?" in u or u.endswith("//") for u in urls)
+    flooded = [r for r in kept if "boilerplate_flood" in r.found and not {"truncation", "missing_field"} & set(r.found)]
+    assert flooded and not any(S.FLOOD in r.description for r in flooded)
+    assert all(len(r.new_hash) == 16 for r in kept) and mended.where("not kept and new_hash is not null").count() == 0
+    clean = {r.url: r for r in df.collect()}
+    assert all(r.title == clean[r.url].title for r in kept if r.found == ["mojibake"])
+
+
+def test_mending_by_hand(spark):
+    rows = [
+        (0, "https://s/a/?x=1", "A", "Bó hoa cúc vàng tươi cho ngày lễ lớn của mẹ"), (1, "https://s/a", "A", "Bó hoa cúc vàng tươi cho ngày lễ lớn của mẹ nhé"),
+        (2, "https://s/b", "", "Bó hoa lan tím nhỏ cho ngày đầu tuần của bạn"), (3, "https://s/bb", " ", "Bó hoa lan tím nhỏ cho ngày đầu tuần của bạn"), (4, "https://s/c", "nan", None),
+        (5, "https://s/d", "D", "hoa tươi"), (6, "https://s/e?list=2", "E", "Một trang có tham số mà không trùng với trang nào cả"), (7, None, "F", "none"),
+    ]
+    df = spark.createDataFrame(rows, "seq long, url string, title string, description string")
+    got = {r.seq: (r.found, r.kept) for r in S.mend(df, "seq", "url", "title", "description", min_share=0.5).collect()}
+    assert got[0] == (["duplication"], False) and got[1] == ([], True)  # the canonical form survives
+    assert got[2] == (["missing_field"], False) and got[3] == (["missing_field", "duplication"], False)  # untitled rows still hide others
+    assert got[4] == (["missing_field"], False) and got[5] == (["truncation"], True) and got[6] == ([], True)
+    assert got[7] == (["missing_field"], True)
+    fixed = {r.seq: r for r in S.repair(df.withColumn("h", F.lit("old")), "seq", "url", "title", "description", hash_col="h", min_share=0.5).collect()}
+    assert fixed[7].description == "" and fixed[1].h != "old" and set(fixed) == {1, 5, 6, 7}
+    assert S.mend(df.limit(0), "seq", "url", "title", "description").count() == 0
+
+
+def test_three_fields_three_forms_and_constant_rows(spark):
+    df = catalogue(spark, 400).withColumn("price_raw", F.lit("100"))
+    bad = S.corrupt(df, "seq", "url", "title", "description", others=("price_raw",), rates={"missing_field": 0.5, "duplication": 0.5}, constants=[{"url": "https://s/cart", "label": "extra"}])
+    rows = bad.collect()
+    blank = [r for r in rows if "missing_field" in r.labels and "truncation" not in r.labels]
+    assert all(any(not r[c] for r in blank) for c in ("title", "description", "price_raw"))
+    ends = {f: sum(r.url.endswith(f) for r in rows) for f in S.CLONES}
+    assert all(n > 30 for n in ends.values()) and [(r.title, r.labels) for r in rows if r.url == "https://s/cart"] == [(None, ["extra"])]
+
+
+def test_shared_tokens_strip_short_sentences(spark):
+    texts = [f"Own {i} goods n{i}. Call our shop now." for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r.t for r in S.strip_repeated(df, "t", "id").collect()}
+    assert got[3] == "Own 3 goods n3." and set(got) == set(range(20))
+    only = spark.createDataFrame([(i, "Call our shop now.") for i in range(5)], "id long, t string")
+    assert {r.t for r in S.strip_repeated(only, "t", "id").collect()} == {"Call our shop now."}  # what would lose all stays
+
+
+def test_baseline_counters(spark):
+    df = spark.createDataFrame([("a", "nan"), ("b", "x"), (None, "nan")], "url string, naive string")
+    out, seen = S.baseline_records(df, "naive", F.col("url") != "b")
+    assert out.count() == 3 and seen.get == {"records": 3, "nan_texts": 2, "unwanted": 2}
 
 
 def test_clean_counts_the_first_reason(spark):
