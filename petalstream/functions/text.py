@@ -68,6 +68,21 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def folded_tokens(c: Column | str) -> Column:
+    """Tokens of the text in lower case without marks; null gives an empty list."""
+    return tokens(fold_diacritics(F.coalesce(col(c), F.lit(""))))
+
+
+def normalized_body(*cols: Column | str) -> Column:
+    """The texts together in lower case, composed, with white space squeezed: what two rows with one body share."""
+    return squeeze(compose(F.lower(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in cols]))))
+
+
+def iso_date(ts: Column | str) -> Column:
+    """The date of a moment as YYYY-MM-DD; null for null."""
+    return F.date_format(col(ts), "yyyy-MM-dd")
+
+
 def shingles(tok: Column, size: int = 8) -> Column:
     """Distinct runs of `size` tokens; an empty list below that many.
 

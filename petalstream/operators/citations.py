@@ -9,8 +9,8 @@ from petalstream.functions.text import col
 
 # A citation mark, and what makes a sentence a claim.
 MARK = r"\[(\d{1,2})\]"
-#: By default a claim is an amount of money or a code; another domain passes its own expression.
-CLAIM = r"(?iu)\d[\d.,]{2,}\s*(?:₫|đ(?![\p{L}\p{N}_])|vnd|k(?![\p{L}\p{N}_])|nghìn|triệu)|(?<![\p{L}\p{N}_])M\d{1,4}(?![\p{L}\p{N}_])"
+# The caller's domain tells what a claim is; by default, a number of three digits or more.
+CLAIM = r"(?<![\p{L}\p{N}_])\d[\d.,]{2,}"
 
 
 def marks(answer: Column | str) -> Column:
@@ -33,13 +33,21 @@ def unused(answer: Column | str, n: Column) -> Column:
     return F.array_except(_numbers(n), cited(answer, n))
 
 
-def uncited_claims(answer: Column | str, claim: str = CLAIM) -> Column:
-    """Sentences with a claim in lines without any mark; questions claim nothing. At most 120 characters of each are shown."""
+def _uncited(answer: Column | str) -> Column:
+    """The sentences of lines without any mark, without questions, which claim nothing."""
     lines = F.filter(F.split(F.coalesce(col(answer), F.lit("")), "\n"), lambda b: (F.trim(b) != "") & ~b.rlike(MARK))
-    sentences = F.flatten(F.transform(lines, lambda b: F.split(b, r"(?<=[.!?])\s+")))
-    sentences = F.transform(sentences, lambda s: F.trim(s))
-    found = F.filter(sentences, lambda s: (s != "") & ~s.rlike(r"\?\s*$") & s.rlike(claim))
-    return F.transform(found, lambda s: F.substring(s, 1, 120))
+    sentences = F.transform(F.flatten(F.transform(lines, lambda b: F.split(b, r"(?<=[.!?])\s+"))), lambda s: F.trim(s))
+    return F.filter(sentences, lambda s: (s != "") & ~s.rlike(r"\?\s*\z"))
+
+
+def uncited_claims(answer: Column | str, claim: str = CLAIM) -> Column:
+    """Sentences with a claim in lines without any mark. At most 120 characters of each are shown."""
+    return F.transform(F.filter(_uncited(answer), lambda s: s.rlike(claim)), lambda s: F.substring(s, 1, 120))
+
+
+def uncited_descriptive(answer: Column | str, descriptive: str, claim: str = CLAIM) -> Column:
+    """The weaker tier: sentences that describe something in lines without any mark and hold no claim."""
+    return F.transform(F.filter(_uncited(answer), lambda s: s.rlike(descriptive) & ~s.rlike(claim)), lambda s: F.substring(s, 1, 120))
 
 
 def strip_invalid(answer: Column | str, n: Column) -> Column:
@@ -48,20 +56,23 @@ def strip_invalid(answer: Column | str, n: Column) -> Column:
     return F.aggregate(bad, F.coalesce(col(answer), F.lit("")), lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"\[0?"), x.cast("string"), F.lit(r"\]")), F.lit("")))
 
 
-def report(df: DataFrame, answer: str, n_context: str, claim: str = CLAIM) -> DataFrame:
-    """Adds cited, invalid, unused, n_uncited_claims, is_valid. Without context nothing can be uncited."""
+def report(df: DataFrame, answer: str, n_context: str, claim: str = CLAIM, descriptive: str | None = None) -> DataFrame:
+    """Adds cited, invalid, unused, has_citations, n_uncited_claims, n_uncited_descriptive (0 without an expression for these) and is_valid. Without context
+    nothing can be uncited."""
     n = F.coalesce(F.col(n_context), F.lit(0)).cast("int")
-    out = df.withColumn("cited", cited(answer, n)).withColumn("invalid", invalid(answer, n)).withColumn("unused", unused(answer, n))
-    out = out.withColumn("n_uncited_claims", F.when(n > 0, F.size(uncited_claims(answer, claim))).otherwise(0))
+    out = df.withColumns({"cited": cited(answer, n), "invalid": invalid(answer, n), "unused": unused(answer, n)})
+    told = {"n_uncited_claims": uncited_claims(answer, claim), "n_uncited_descriptive": uncited_descriptive(answer, descriptive, claim) if descriptive else F.array()}
+    out = out.withColumns({k: F.when(n > 0, F.size(v)).otherwise(0) for k, v in told.items()} | {"has_citations": F.size("cited") > 0})
     return out.withColumn("is_valid", (F.size("invalid") == 0) & (F.col("n_uncited_claims") == 0))
 
 
 def rates(reports: DataFrame, n_context: str) -> DataFrame:
-    """(n, invalid_index_rate, citation_rate, validity_rate, uncited_rate, mean_unused) over rows with context; nulls where there is none."""
+    """(n, invalid_index_rate, citation_rate, validity_rate, uncited_rate, descriptive_rate, mean_unused) over rows with context; nulls where there is none."""
     share = lambda c: F.round(F.avg(c.cast("int")), 4)
     return reports.where(F.col(n_context) > 0).agg(
-        F.count("*").alias("n"), share(F.size("invalid") > 0).alias("invalid_index_rate"), share(F.size("cited") > 0).alias("citation_rate"),
-        share(F.col("is_valid")).alias("validity_rate"), share(F.col("n_uncited_claims") > 0).alias("uncited_rate"), F.round(F.avg(F.size("unused")), 2).alias("mean_unused"),
+        F.count("*").alias("n"), share(F.size("invalid") > 0).alias("invalid_index_rate"), share(F.col("has_citations")).alias("citation_rate"),
+        share(F.col("is_valid")).alias("validity_rate"), share(F.col("n_uncited_claims") > 0).alias("uncited_rate"),
+        share(F.col("n_uncited_descriptive") > 0).alias("descriptive_rate"), F.round(F.avg(F.size("unused")), 2).alias("mean_unused"),
     )
 
 
@@ -88,6 +99,27 @@ def cache_key(*cols: Column | str) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*sorted(cols, key=str) if all(isinstance(c, str) for c in cols) else cols)), 256), 1, 24)
 
 
+def probe(requests: DataFrame, cache: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(requests with what the cache has for them under `value`, those that it lacks, each key once). A key stands once in the cache; the misses are what a
+    model is asked, and their answers are appended to the cache. Null keys are never found."""
+    found = requests.join(cache.select(key, value), key, "left")
+    return found, requests.join(cache.select(key), key, "left_anti").where(F.col(key).isNotNull()).dropDuplicates([key])
+
+
+def answer_json(answer: Column | str, sources: Column, abstained: Column) -> Column:
+    """An answer with its sources, numbered from 1 in their order, as one JSON text."""
+    numbered = F.transform(sources, lambda s, i: F.struct((i + 1).alias("n"), s.alias("source")))
+    return F.to_json(F.struct(col(answer).alias("answer"), numbered.alias("sources"), abstained.alias("abstained")))
+
+
+def needs_context(question: Column | str, n_turns: Column, back: str, subject: str, words: int = 3) -> Column:
+    """Whether a question leans on the turns before it: there are any, and it has at most `words` words, or it refers back and names no subject of
+    its own. What refers back and what is a subject are expressions of the caller's language."""
+    q = F.trim(F.regexp_replace(F.coalesce(col(question), F.lit("")), r"\s+", " "))
+    few = F.size(F.filter(F.split(q, " "), lambda w: w != "")) <= words
+    return (F.coalesce(n_turns, F.lit(0)) > 0) & (few | (q.rlike(back) & ~q.rlike(subject)))
+
+
 def fenced_json(text: Column | str, schema: str) -> Column:
     """JSON of a model's answer, with or without a fence around it; null where it can't be read."""
     return F.from_json(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,59 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
 
 
+def within_words(text: Column, least: int = 2, most: int = 12) -> Column:
+    """Whether the text has that many words between white space; null has none."""
+    return word_count(text).between(least, most)
+
+
+def by_group(df: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, n, keys): how many rows each group has and the keys of all of them, in order. A group's keys stand in one row, so it is for evaluation sets;
+    the count alone is a plain aggregate."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys"))
+
+
+def prefilter(df: DataFrame, key: str, text: str, by: str, cap: int = 30, least: int = 2, most: int = 12) -> DataFrame:
+    """The questions worth labelling: of near-duplicates the first by key, of these the ones with a fitting number of words, of these the first `cap` of each group."""
+    kept = near_duplicates(df.select(key, text), key, text)[0].where("kept").select(key)
+    return cap_per_group(df.join(kept, key, "left_semi").where(within_words(F.col(text), least, most)), by, [key], cap)
+
+
+def sticky_subset(df: DataFrame, key: str, flag: str, eligible: Column, n: int, seed: int = 42) -> DataFrame:
+    """The table with the flag set for the first `n` eligible rows by a seeded draw; a flag that is set stays, and counts for none of the n places."""
+    drawn = df.where(eligible).select(key).withColumn("__d", draw(seed, "subset", key)).orderBy("__d", key).limit(n).select(key, F.lit(True).alias("__in"))
+    out = df.join(F.broadcast(drawn), key, "left")  # n rows
+    return out.select(*[(F.coalesce(F.col(flag), F.lit(False)) | F.col("__in").isNotNull()).alias(flag) if c == flag else F.col(c) for c in df.columns])
+
+
+def lookup(golds: DataFrame, candidates: DataFrame, url: str) -> DataFrame:
+    """The gold rows with what is known of their URLs; unknown ones stay, with nulls."""
+    return golds.join(candidates, url, "left")
+
+
+def in_pool(index: Column, n: Column) -> Column:
+    """Whether an index that a judge returned is one of those it was shown, from 1."""
+    return F.coalesce(index.between(F.lit(1), n), F.lit(False))
+
+
+def build(
+    questions: DataFrame, labelled: DataFrame, candidates: DataFrame, key: str, text: str, by: str, shares: dict[str, float], target: int, subset: int, judge: Callable[[DataFrame], Column],
+    seed: int = 42, cap: int = 30, leak: float = 0.8,
+) -> DataFrame:
+    """The evaluation set (key, text, by, gold_urls, leaks, answerable, carried, in_subset, stable_id): prefiltered questions are sampled by group and seed; rows that are labelled
+    (key, gold_urls) carry over; for the others the `judge` says which of their pooled candidates (key, url, title) are gold; a set whose gold title stands in the question leaks;
+    what has gold is answerable; a seeded subset of that is marked, and rows are numbered in order of their text."""
+    asked = cut(balanced_sample(prefilter(questions.select(key, text, by), key, text, by, cap), by, key, shares, target, seed))
+    again = asked.join(labelled.select(key, "gold_urls"), key).withColumn("carried", F.lit(True))
+    pooled = candidates.join(asked.join(labelled.select(key), key, "left_anti"), key)
+    judged = pooled.where(F.coalesce(judge(pooled), F.lit(False))).groupBy(key).agg(F.array_sort(F.collect_set("url")).alias("gold_urls"))
+    fresh = asked.join(labelled.select(key), key, "left_anti").join(judged, key, "left").withColumn("carried", F.lit(False))
+    rows = again.unionByName(fresh).withColumn("gold_urls", F.coalesce("gold_urls", F.array().cast("array<string>")))
+    titles = rows.select(key, text, F.explode("gold_urls").alias("url")).join(candidates.select(key, "url", "title"), [key, "url"])
+    leaking = titles.groupBy(key).agg(F.max(F.coalesce(leaks_title(F.col(text), F.col("title"), leak), F.lit(False))).alias("leaks"))
+    rows = rows.join(leaking, key, "left").withColumn("leaks", F.coalesce("leaks", F.lit(False))).withColumn("answerable", F.size("gold_urls") > 0).withColumn("in_subset", F.lit(False))
+    return stable_ids(sticky_subset(rows, key, "in_subset", F.col("answerable") & ~F.col("leaks"), subset, seed), [text, key])
+
+
 def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(set_id, tokens, first, n, key list is kept apart): the distinct sets of folded tokens longer than one character."""
     folded = df.select(key, fold_diacritics(F.coalesce(text, F.lit(""))).alias("__f"))

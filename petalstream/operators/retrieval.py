@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from petalstream.functions.text import tokens
+from petalstream.functions.text import squeeze, tokens
+from petalstream.plans.session import cut, small, written
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str = "hit_rank") -> DataFrame:
@@ -21,46 +23,66 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int, rank: str
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, k: int, block: int = 2048, digits: int = 6) -> DataFrame:
+def dense_top_k(
+    docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, k: int, block: int = 2048, digits: int = 6, width: int | None = None, chunk: int = 200_000
+) -> DataFrame:
     """(query_id, doc_id, score, hit_rank): the exact k nearest rows of each query by inner product, rounded to `digits`; ties by doc_id.
 
-    Queries go in blocks of about `block` vectors, so what is sent to the executors has a bound; each task multiplies its rows with a
-    block and keeps the k best of each query, which are merged by rank. Vectors that are null or of another length than the block's
-    first are left out. No queries or no rows give no hits.
+    Up to `block` queries are broadcast; each task multiplies its rows with them and keeps the k best of each query, which are merged by rank. More
+    queries meet the rows in a grid of one plan: blocks of queries go to each chunk of about `chunk` rows, and chunks to each block, so that a task holds one of either
+    and nothing goes through the driver. Vectors have `width` numbers, by default as many as those of the queries, which must agree (ValueError);
+    rows whose vector is null or of another length have no score. No queries or no rows give no hits.
     """
-    n = queries.where(F.col(vector).isNotNull()).count()
-    count = max(1, -(-n // block))
-    spark = docs.sparkSession
-    parts = []
-    for i in range(count):
-        own = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(query_id), F.lit(count)) == i)).select(query_id, vector).collect()
-        width = len(own[0][1]) if own else 0
-        own = [r for r in own if len(r[1]) == width]
-        shared = spark.sparkContext.broadcast(([r[0] for r in own], np.array([r[1] for r in own], dtype=np.float64).reshape(len(own), width)))
-        parts.append(docs.select(F.col(doc_id).cast("long"), vector).where(F.col(vector).isNotNull() & (F.size(vector) == width)).mapInArrow(_scores(shared, k, digits, [query_id, doc_id, "score"]), f"{query_id} long, {doc_id} long, score double"))
-    hits = reduce(DataFrame.unionByName, parts)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias(query_id), F.col(vector).alias("__q"))
+    n, least, most = asked.agg(F.count("*"), F.min(F.size("__q")), F.max(F.size("__q"))).first()
+    if n and (least != most or most != (width or most)):
+        raise ValueError(f"query vectors of {least} to {most} numbers" + f" instead of {width}" * (width is not None))
+    rows = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(vector).alias("__v")).where(F.col("__v").isNotNull() & (F.size("__v") == (most or 0)))
+    names, schema = [query_id, doc_id, "score"], f"`{query_id}` long, `{doc_id}` long, score double"
+    if n <= block:
+        own = asked.collect()  # at most `block` of them
+        shared = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in own], dtype=np.int64), np.array([r[1] for r in own], dtype=np.float64).reshape(n, most or 0)))
+        hits = rows.mapInArrow(_scores(shared, k, digits, names), schema)
+    else:
+        down, across = max(1, -(-rows.count() // chunk)), -(-n // block)
+        cells = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = rows.withColumn("__r", F.pmod(F.xxhash64(doc_id), F.lit(down)).cast("int")).withColumn("__c", cells(across))
+        right = asked.withColumn("__c", F.pmod(F.xxhash64(query_id), F.lit(across)).cast("int")).withColumn("__r", cells(down))
+
+        def cell(x: pa.Table, q: pa.Table) -> pa.Table:
+            ids, vectors = q.column(query_id).to_numpy(), _matrix(q.column("__q"))
+            best = _best(ids, vectors, [(x.column(doc_id).to_numpy(), _matrix(x.column("__v")))] if x.num_rows and q.num_rows else [], k, digits)
+            return pa.table(dict(zip(names, best)))
+
+        hits = left.groupBy("__r", "__c").cogroup(right.groupBy("__r", "__c")).applyInArrow(cell, schema)
     return top_k(hits, query_id, "score", doc_id, k)
 
 
-def _scores(shared, k: int, digits: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        if not len(ids):
-            return
-        best = np.empty((len(ids), 0))
-        who = np.empty((len(ids), 0), dtype=np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, q.shape[1])
-            s = np.round(q @ x.T, digits)
-            best = np.hstack([best, s])
-            who = np.hstack([who, np.tile(b.column(0).to_numpy(), (len(ids), 1))])
+def _matrix(c: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+        c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
+
+
+def _best(ids: np.ndarray, q: np.ndarray, parts: Iterable[tuple[np.ndarray, np.ndarray]], k: int, digits: int) -> list[np.ndarray]:
+    """The k best of each query over parts of (ids, vectors): queries, rows and scores, side by side."""
+    best, who = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
+    for own, x in parts:
+        for lo in range(0, len(own), 4096):
+            best = np.hstack([best, np.round(q @ x[lo : lo + 4096].T, digits)])
+            who = np.hstack([who, np.tile(own[lo : lo + 4096], (len(ids), 1))])
             order = np.lexsort((who, -best), axis=1)[:, :k]
             best, who = np.take_along_axis(best, order, 1), np.take_along_axis(who, order, 1)
-        m = best.shape[1]
-        columns = [pa.array(np.repeat(np.array(ids, dtype=np.int64), m)), pa.array(who.ravel()), pa.array(best.ravel())]
-        yield pa.RecordBatch.from_arrays(columns, names)
+    return [np.repeat(ids, best.shape[1]), who.ravel(), best.ravel()]
+
+
+def _scores(shared: Broadcast, k: int, digits: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        if len(ids):
+            best = _best(ids, q, ((b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows), k, digits)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names)
 
     return run
 
@@ -75,18 +97,18 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of every text that shares a term with a query; each distinct query term counts once.
 
-    Queries meet texts in an equi-join on terms: postings without a query term drop out before anything is scored, and sums combine
-    map-side. A text without terms is not counted, nor are repeated doc ids told apart.
+    Texts are taken apart once and only terms that are asked for are kept, written with the text's length. Queries meet them in an equi-join on
+    terms, and sums combine map-side. A text without terms is not counted, nor are repeated doc ids told apart.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(question))).alias("term"))
-    terms = asked.select("term").distinct()
+    asked = cut(queries.select(query_id, F.explode(F.array_distinct(tokens(question))).alias("term")))
+    terms = small(cut(asked.select("term").distinct()))
+    own = written(postings(docs, doc_id, text).join(terms, "term", "left_semi"))
     sizes = docs.select(F.size(tokens(text)).alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_len"))
-    own = postings(docs, doc_id, text).join(terms, "term", "left_semi")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = df.join(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # sizes is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
-    scored = own.join(weights, "term").select(doc_id, "term", part.alias("part"))
-    return scored.join(asked, "term").groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
+    scored = own.join(small(cut(weights)), "term").select(doc_id, "term", part.alias("part"))
+    return scored.join(small(asked), "term").groupBy(query_id, doc_id).agg(F.sum("part").alias("score"))
 
 
 def fuse(lists: list[DataFrame], query_id: str, doc_id: str, k: int, constant: int = 60, rank: str = "hit_rank", digits: int = 9) -> DataFrame:
@@ -139,16 +161,20 @@ CONFIGS = {
 
 def run_config(
     config: RetrievalConfig, docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, wanted: Column | None = None,
-    lexical: DataFrame | None = None, second: Callable[[DataFrame], Column] | None = None,
+    lexical: DataFrame | None = None, second: Callable[[DataFrame], Column] | None = None, question: str | None = None,
 ) -> DataFrame:
-    """The ranked hits of a configuration. The filter stands below ranking and fusion; the threshold is on the first score, after
-    re-ranking; `lexical` are ranked hits to fuse with, `second` makes the re-ranking score of the fetched hits."""
-    rows = docs.where(wanted) if config.prefilter and wanted is not None else docs
+    """The ranked hits of a configuration. Queries whose `question` is null or blank are not searched for. The filter stands below both rankings and the
+    fusion; the threshold is on the first score, after re-ranking; `lexical` are scored texts (query_id, doc_id, score) to rank and fuse with, `second` makes the re-ranking
+    score of the fetched hits."""
+    filtered = config.prefilter and wanted is not None
+    rows = docs.where(wanted) if filtered else docs
+    asked = queries if question is None else queries.where(~is_blank(question))
     fetched = config.fetch_k if config.rerank or config.hybrid else config.top_k
-    hits = dense_top_k(rows, queries, doc_id, query_id, vector, fetched)
+    hits = dense_top_k(rows, asked, doc_id, query_id, vector, fetched)
     if config.hybrid and lexical is not None:
-        other = lexical.join(rows.select(doc_id), doc_id, "left_semi") if config.prefilter and wanted is not None else lexical
-        return fuse([hits, other.where(F.col("hit_rank") <= fetched)], query_id, doc_id, config.top_k)
+        other = lexical.join(rows.select(doc_id), doc_id, "left_semi") if filtered else lexical
+        other = other if question is None else other.join(asked.select(query_id), query_id, "left_semi")
+        return fuse([hits, top_k(other, query_id, "score", doc_id, fetched)], query_id, doc_id, config.top_k)
     if config.rerank and second is not None:
         hits = rerank(hits, query_id, second(hits), fetched)
     if config.threshold is not None:
@@ -156,15 +182,55 @@ def run_config(
     return top_k_by_rank(hits, query_id, config.top_k)
 
 
+def is_blank(question: Column | str) -> Column:
+    """Whether a question is null or white space only: it is not searched for, and counts as an abstention."""
+    return squeeze(F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))) == ""
+
+
 def top_k_by_rank(hits: DataFrame, query_id: str, k: int, rank: str = "hit_rank") -> DataFrame:
     """The first k of the hits left after a filter, ranked anew."""
     w = Window.partitionBy(query_id).orderBy(rank)
     return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop(rank).withColumnRenamed("__r", rank)
 
 
-def write_index(docs: DataFrame, path: str, key: str, seq: str, buckets: int = 16) -> None:
-    """Writes a vector table, the last row of each key, partitioned by a hash of the key, so that an upsert rewrites only what it hits."""
+# The states of a corpus, each with an index of its own.
+STATES = ("baseline", "clean", "corrupt", "repaired")
+
+
+def collection_name(state: str, prefix: str = "items") -> str:
+    """The index of a state; another state is an error."""
+    if state not in STATES:
+        raise ValueError(f"no state {state!r}; there are {', '.join(STATES)}")
+    return f"{prefix}_{state}"
+
+
+def payload(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The columns that an index hands out, under their names there."""
+    return df.select(*[F.col(c).alias(name) for name, c in fields.items()])
+
+
+def builders_for(state: str, naive: Column, clean: Column, fields: dict[str, str], unparsed: Sequence[str] = ()) -> tuple[Column, dict[str, str]]:
+    """(text to index by, payload fields) of a state: the naive text without the parsed fields for the baseline, else the clean one with all."""
+    collection_name(state)
+    return (naive, {n: c for n, c in fields.items() if n not in unparsed}) if state == "baseline" else (clean, fields)
+
+
+def write_index(docs: DataFrame, path: str, key: str, seq: str, buckets: int = 16, recreate: bool = True) -> None:
+    """Writes a vector table, the last row of each key, partitioned by a hash of the key, so that an upsert rewrites only what it hits. Without
+    `recreate` an index that exists stays as it is."""
     from petalstream.operators.ordering import keep_last
 
+    if not recreate and exists(docs.sparkSession, path):
+        return
     keep_last(docs, [key], [seq]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
+
+def drop_index(spark: SparkSession, path: str) -> bool:
+    """Whether there was one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

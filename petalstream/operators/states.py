@@ -139,7 +139,7 @@ def mend(
     plain = F.coalesce(F.lower(F.regexp_replace(url, "/+$", "")) == canon, F.lit(False))
     # one sortable text: canonical forms first, then short URLs, then input order
     order = F.concat(F.when(plain, "0").otherwise("1"), F.lpad(F.length(F.coalesce(url, F.lit(""))).cast("string"), 9, "0"), F.lpad(F.col(seq).cast("string"), 20, "0"))
-    out = written(out.withColumns({"__order": order, "__canon": canon, "__body": T.compose(F.lower(F.concat_ws(" ", title, text)))}).withColumn("__body", F.md5(T.squeeze("__body"))))
+    out = written(out.withColumns({"__order": order, "__canon": canon, "__body": T.normalized_body(title, text)}).withColumn("__body", F.md5("__body")))
     firsts = greedy_distinct(out.select("__order", "__canon", "__body"), "__order", ["__canon", "__body"]).select("__order", F.lit(True).alias("__first"))
     out = out.join(firsts, "__order", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from petalstream.functions import html
 from petalstream.functions import text as T
 from petalstream.operators import citations, evaluation, evalset, ordering, profile, quality, retrieval, states
 from petalstream.plans.session import cut
@@ -194,9 +195,12 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("seq", T.canonical_url("url").alias("canon"))
 
 
-@query("content_hash16", "SELECT seq, left(sha256(url || chr(31) || coalesce(title, '') || chr(31) || coalesce(description, '')), 16) AS h FROM products")
+HASHED = ("url", "title", "price_raw", "description", "promo", "image")
+
+
+@query("content_hash16", "SELECT seq, left(sha256(" + " || chr(31) || ".join(f"coalesce({c}, '')" for c in HASHED) + "), 16) AS h FROM products")
 def content_hash16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "products").select("seq", T.content_hash("url", "title", "description").alias("h"))
+    return table(spark, d, "products").select("seq", T.content_hash(*HASHED).alias("h"))
 
 
 @query("point_id_v5", r"""
@@ -215,11 +219,55 @@ def embed_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "products").select("seq", states.embed_text("title", "description").alias("embed"), states.baseline_text("title", "price_raw", "description", "promo").alias("naive"))
 
 
-@query("misdecoded_titles", "SELECT seq FROM products WHERE title IS NOT NULL")
+_BYTES_AS_CHARS = "array_to_string(list_transform(range(0, octet_length(encode(title))::BIGINT), lambda i: chr(('0x' || substr(hex(encode(title)), (2 * i + 1)::BIGINT, 2))::INT)), '')"
+
+
+@query("misdecoded_titles", f"""
+    SELECT seq, {_BYTES_AS_CHARS} AS bad, regexp_matches(title, 'Ã[\\x{{80}}-\\x{{BF}}]|á»|áº|Æ°|Ä‘|â€') AS shows,
+      CASE WHEN NOT regexp_matches(title, 'Ã[\\x{{80}}-\\x{{BF}}]|á»|áº|Æ°|Ä‘|â€') AND regexp_matches({_BYTES_AS_CHARS}, 'Ã[\\x{{80}}-\\x{{BF}}]|á»|áº|Æ°|Ä‘|â€') THEN title END AS back
+    FROM products WHERE title IS NOT NULL""")
 def misdecoded_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles whose bytes were read as another encoding and back again are what they were: one row for each."""
+    """Titles read in another encoding, whether they show it as they are, and what the repair makes of the misread ones that show it."""
     rows = table(spark, d, "products").where("title is not null").select("seq", "title", T.misdecode("title").alias("bad"))
-    return rows.where(F.decode(F.encode("bad", "ISO-8859-1"), "UTF-8") == F.col("title")).select("seq")
+    shows = T.looks_misdecoded("title")
+    return rows.select("seq", "bad", shows.alias("shows"), F.when(~shows & T.looks_misdecoded("bad"), T.redecode("bad")).alias("back"))
+
+
+@query("folded_tokens", f"SELECT id, regexp_extract_all(strip_accents(lower(coalesce(question, ''))), '{TOK}') AS tokens FROM golden")
+def folded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "golden").select("id", T.folded_tokens("question").alias("tokens"))
+
+
+@query("normalized_body", rf"SELECT seq, trim(regexp_replace(nfc_normalize(lower(coalesce(title, '') || ' ' || coalesce(description, ''))), '{SPACES}', ' ', 'g')) AS body FROM products")
+def normalized_body(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", T.normalized_body("title", "description").alias("body"))
+
+
+@query("iso_dates", "SELECT seq, strftime(crawled_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM products")
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "products").select("seq", T.iso_date("crawled_at").alias("day"))
+
+
+PAGES = (
+    ("https://a.example/1", '<html><head><meta name="description" content="Two  words &amp; more"></head><h1 class="product_title">Red <b>roses</b></h1><img data-large_image="https://a.example/l.jpg" src="https://a.example/s.jpg"><ins>800 k</ins></html>'),
+    ("https://a.example/2", '<h1>Lilies</h1><div class="short-description"><p>Fresh<br>today</p></div><img src="https://a.example/x.jpg" data-large_image="l.jpg"><span class="amount">9&nbsp;k</span>'),
+    ("https://a.example/3", '<meta property="og:image" content="https://a.example/o.png"><script>var t = "<h1>no</h1>"</script><img src="logo.png">'),
+    ("https://a.example/4", "<h1>open"), ("https://a.example/5", ""),
+)
+
+
+@query("parsed_pages", """
+    SELECT * FROM (VALUES ('https://a.example/1', 'Red roses', 'Two words & more', '800 k', 'https://a.example/l.jpg'), ('https://a.example/2', 'Lilies', 'Fresh today', '9 k', 'https://a.example/x.jpg'),
+      ('https://a.example/3', 'no', '', '', 'https://a.example/o.png'), ('https://a.example/4', '', '', '', ''), ('https://a.example/5', '', '', '', '')) AS p(url, title, description, price_raw, image)""")
+def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a table of constants, taken apart."""
+    return files.values_table(spark, list(PAGES), "url string, html string").select("url", html.product("html").alias("p")).select("url", "p.*")
+
+
+@query("sitemap_children", "SELECT * FROM (VALUES (0, 'https://a/product-sitemap1.xml'), (1, 'https://a/product-sitemap2.xml')) AS s(place, loc)")
+def sitemap_children(spark: SparkSession, d: str) -> DataFrame:
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc> https://a/{n}.xml </loc></sitemap>" for n in ("product-sitemap1", "page-sitemap", "product-sitemap2", "product-sitemap1")) + "</sitemapindex>"
+    return files.values_table(spark, [(index,)], "xml string").select(F.posexplode(html.child_sitemaps("xml")).alias("place", "loc"))
 
 
 @query("phrase_contains", rf"""
@@ -475,6 +523,77 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(scored.withColumn("score", F.round("score", 6)), "query_id", "score", "doc_id", 10)
 
 
+# the questions of golden, number n of which belongs to the vector of number 50 n; texts are those of the vectors' documents
+_SEARCHED = rf"""
+    q AS (SELECT e.vec_id AS query_id, embedding, g.question FROM embeddings e LEFT JOIN golden g ON 50 * substr(g.id, 2)::BIGINT = e.vec_id WHERE e.vec_id % 50 = 0),
+    x AS (SELECT e.vec_id, e.embedding, e.label, d.text FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
+    s AS (SELECT query_id, vec_id, label, round(list_inner_product(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM x, q WHERE trim(coalesce(question, '')) <> ''),
+    t AS (SELECT vec_id, label, regexp_extract_all(lower(coalesce(text, '')), '{TOK}') AS t FROM x),
+    n AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_len FROM t WHERE len(t) > 0),
+    p AS (SELECT vec_id, any_value(label) AS label, len(any_value(t)) AS doc_len, term, count(*) AS tf FROM (SELECT vec_id, label, t, unnest(t) AS term FROM t) GROUP BY vec_id, term),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    a AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(question), '{TOK}'))) AS term FROM q WHERE question IS NOT NULL),
+    l AS (SELECT query_id, vec_id, any_value(label) AS label, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / mean_len))), 6) AS score
+      FROM a JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, vec_id)"""
+_SECOND = "round(score * (1 + vec_id % 7), 6)"
+
+
+def _config_sql(c: retrieval.RetrievalConfig) -> str:
+    """The ranked hits of a configuration over the tables of _SEARCHED."""
+    fetched = c.fetch_k if c.rerank or c.hybrid else c.top_k
+    where = "label < 5" if c.prefilter else "true"
+    first = lambda t: f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM {t} WHERE {where} QUALIFY r <= {fetched}"
+    rank = lambda order, rows, cond="true": f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS hit_rank FROM ({rows}) WHERE {cond} QUALIFY hit_rank <= {c.top_k}"
+    if c.hybrid:
+        both = f"SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM ({first('s')} UNION ALL {first('l')}) GROUP BY query_id, vec_id"
+        return rank("score DESC, vec_id", both)
+    cond = f"score >= {c.threshold}" if c.threshold else "true"
+    return rank(f"{_SECOND} DESC, r" if c.rerank else "r", first("s"), cond)
+
+
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with vector, label and text; queries with vector and question; lexical scores)"""
+    rows = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    questions = table(spark, d, "golden").select((F.substring("id", 2, 20).cast("long") * 50).alias("query_id"), "question")
+    queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding").join(questions, "query_id", "left")
+    scored = retrieval.bm25(rows.select("vec_id", "text"), queries.select("query_id", "question"), "vec_id", "text", "query_id", "question")
+    return rows, queries, scored.withColumn("score", F.round("score", 6))
+
+
+def _search(spark: SparkSession, d: str, name: str, tables: tuple | None = None) -> DataFrame:
+    rows, queries, lexical = tables or _searched(spark, d)
+    second = lambda hits: F.round(F.col("score") * (1 + F.col("vec_id") % 7), 6)  # noqa: E731  # stands for a model
+    return retrieval.run_config(
+        retrieval.CONFIGS[name], rows, queries, "vec_id", "query_id", "embedding", F.col("label") < 5, lexical, second, "question"
+    ).select("query_id", "vec_id", "score", "hit_rank")
+
+
+for _name, _config in retrieval.CONFIGS.items():
+    query(f"config_{_name}", f"WITH {_SEARCHED} {_config_sql(_config)}")(lambda spark, d, name=_name: _search(spark, d, name))
+
+_RELEVANT = """
+    k AS (SELECT * FROM (VALUES ('baseline'), ('dense'), ('dense_threshold'), ('dense_rerank'), ('dense_budget'), ('hybrid'), ('hybrid_budget'), ('full')) AS k(config)),
+    gold AS (SELECT q.query_id, e.vec_id FROM q JOIN embeddings b ON b.vec_id = q.query_id JOIN embeddings e ON e.label = b.label AND e.vec_id % 25 = 0),
+    size AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
+    m AS (SELECT config, query_id, count(*) AS n, min(hit_rank) AS f, sum(1 / log2(hit_rank + 1.0)) AS dcg FROM hits JOIN gold USING (query_id, vec_id) GROUP BY config, query_id),
+    o AS (SELECT k.config, size.query_id, coalesce(m.n / size.n, 0) AS recall_5, (coalesce(m.n, 0) > 0)::INT AS hit_5, coalesce(1 / f, 0) AS mrr_5,
+        coalesce(dcg / list_sum(list_transform(range(1, least(size.n, 5) + 1), lambda i: 1 / log2(i + 1.0))), 0) AS ndcg_5 FROM k CROSS JOIN size LEFT JOIN m ON m.config = k.config AND m.query_id = size.query_id)"""
+
+
+@query("search_matrix", f"WITH {_SEARCHED}, hits AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, * FROM ({_config_sql(c)})" for n, c in retrieval.CONFIGS.items()) + f"""), {_RELEVANT}
+    SELECT config, (list_position(['baseline', 'dense', 'dense_threshold', 'dense_rerank', 'dense_budget', 'hybrid', 'hybrid_budget', 'full'], config) - 1)::INT AS place, count(*) AS n,
+      round(avg(recall_5), 4) AS recall_5, round(avg(hit_5), 4) AS hit_5, round(avg(mrr_5), 4) AS mrr_5, round(avg(ndcg_5), 4) AS ndcg_5 FROM o GROUP BY config""")
+def search_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Every configuration searched and scored: a vector is relevant to a query of its label, of every 25th vector."""
+    tables = _searched(spark, d)
+    tables = (tables[0], tables[1], cut(tables[2]))
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    own = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    golds = own.join(labels.where("vec_id % 25 = 0"), "label").groupBy("query_id").agg(F.collect_list(F.col("vec_id").cast("string")).alias("gold"))
+    cells = {n: _search(spark, d, n, tables).withColumn("url", F.col("vec_id").cast("string")) for n in retrieval.CONFIGS}
+    return evaluation.in_order(evaluation.matrix(cells, golds, "query_id", "gold", "url", (5,)), "config", tuple(retrieval.CONFIGS), "place")
+
+
 UNIQUE_HITS = "h AS (SELECT query_id, config, url, min(hit_rank) AS hit_rank FROM hits GROUP BY query_id, config, url)"
 
 
@@ -486,18 +605,18 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     WITH {UNIQUE_HITS}, s AS (SELECT query_id, url, round(sum(1.0::DOUBLE / (60 + hit_rank)), 9) AS score FROM h GROUP BY query_id, url)
     SELECT query_id, url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS hit_rank FROM s QUALIFY hit_rank <= 5""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse([_hits(spark, d)], "query_id", "url", 5)
+    lists = [_hits(spark, d).where(F.col("config") == c).drop("config") for c in ("dense", "hybrid")]
+    return retrieval.fuse(lists, "query_id", "url", 5)
 
 
 @query("rerank", """
-    WITH h AS (SELECT query_id, url, config, min(hit_rank) AS old, max(coalesce(rerank_score, -1)) AS rerank_score FROM hits WHERE config = (SELECT min(config) FROM hits) GROUP BY query_id, config, url)
-    SELECT query_id, url, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old, url) AS hit_rank FROM h QUALIFY hit_rank <= 5""")
+    WITH h AS (SELECT query_id, config, url, min(hit_rank) AS old, max(coalesce(rerank_score, -1)) AS rerank_score FROM hits GROUP BY query_id, config, url)
+    SELECT query_id, config, url, rerank_score, row_number() OVER (PARTITION BY query_id, config ORDER BY rerank_score DESC, old, url) AS hit_rank FROM h QUALIFY hit_rank <= 5""")
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "hits")
-    first = hits.agg(F.min("config").alias("config"))
-    own = hits.join(F.broadcast(first), "config", "left_semi").groupBy("query_id", "url").agg(F.min("hit_rank").alias("old"), F.max(F.coalesce("rerank_score", F.lit(-1.0))).alias("s"))
-    old = own.select("query_id", "url", "s", F.struct("old", "url").alias("hit_rank"))
-    return retrieval.rerank(old, "query_id", F.col("s"), 5).select("query_id", "url", "rerank_score", "hit_rank")
+    """The hits of every configuration by the score of a second model."""
+    own = table(spark, d, "hits").groupBy("query_id", "config", "url").agg(F.min("hit_rank").alias("old"), F.max(F.coalesce("rerank_score", F.lit(-1.0))).alias("s"))
+    old = own.select(F.struct("query_id", "config").alias("key"), "url", "s", F.struct("old", "url").alias("hit_rank"))
+    return retrieval.rerank(old, "key", F.col("s"), 5).select("key.query_id", "key.config", "url", "rerank_score", "hit_rank")
 
 
 # ---- evaluation
@@ -603,10 +722,15 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(named("a"), "a").join(named("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "jaccard")
 
 
-@query("near_dup_keep")
+@query("near_dup_keep", r"""
+    WITH RECURSIVE s AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(strip_accents(lower(coalesce(question, ''))), '\s+'), lambda t: length(t) > 1))) AS t, row_number() OVER (ORDER BY id) AS n FROM golden),
+    k AS (SELECT 0::BIGINT AS n, []::VARCHAR[][] AS held, NULL::VARCHAR AS id, false AS kept
+      UNION ALL SELECT s.n, CASE WHEN len(list_filter(held, lambda x: x = t OR len(list_intersect(x, t)) * 1000 >= (len(x) + len(t) - len(list_intersect(x, t))) * 800)) = 0 THEN list_append(held, t) ELSE held END, s.id,
+        len(list_filter(held, lambda x: x = t OR len(list_intersect(x, t)) * 1000 >= (len(x) + len(t) - len(list_intersect(x, t))) * 800)) = 0 FROM k JOIN s ON s.n = k.n + 1)
+    SELECT id, kept FROM k WHERE n > 0""")
 def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
-    """Each question with its class and whether it is kept."""
-    return evalset.near_duplicates(table(spark, d, "golden").select("id", "question"), "id", "question")[0]
+    """Each question and whether it is kept."""
+    return evalset.near_duplicates(table(spark, d, "golden").select("id", "question"), "id", "question")[0].select("id", "kept")
 
 
 @query("per_intent_cap", "SELECT id, intent FROM golden QUALIFY row_number() OVER (PARTITION BY intent ORDER BY id) <= 30")
@@ -658,18 +782,38 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("answer", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), mark(F.col("hit_rank") * 3), F.lit(" và "), mark(F.col("hit_rank") % 5 + 1))).withColumn("n_context", F.lit(5))
 
 
-@query("citation_report", rf"""
-    WITH a AS (SELECT DISTINCT query_id, config, url, hit_rank, title, {ANSWER} AS answer FROM hits),
-    m AS (SELECT *, list_transform(regexp_extract_all(answer, '\[(\d{{1,2}})\]', 1), lambda x: x::INT) AS k FROM a)
-    SELECT query_id, config, url, hit_rank, title, list_sort(list_distinct(list_filter(k, lambda x: x BETWEEN 1 AND 5))) AS cited, list_sort(list_distinct(list_filter(k, lambda x: x NOT BETWEEN 1 AND 5))) AS invalid,
-      list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(k, x)) AS unused FROM m""")
+_CITED = rf"""
+    a AS (SELECT DISTINCT query_id, config, url, hit_rank, title, {ANSWER} AS answer FROM hits),
+    m AS (SELECT *, list_transform(regexp_extract_all(answer, '\[(\d{{1,2}})\]', 1), lambda x: x::INT) AS k FROM a),
+    l AS (SELECT *, regexp_extract_all(answer, '\d[\d.,]{{2,}}') AS digits FROM m),
+    c AS (SELECT query_id, config, url, hit_rank, title, list_sort(list_distinct(list_filter(k, lambda x: x BETWEEN 1 AND 5))) AS cited, list_sort(list_distinct(list_filter(k, lambda x: x NOT BETWEEN 1 AND 5))) AS invalid,
+      list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(k, x)) AS unused, regexp_matches(split_part(answer, chr(10), 1), '[\p{{L}}]') AS has_text FROM l)"""
+DESCRIPTIVE = r"(?iu)(?<![\p{L}\p{N}_])(?:màu|gồm|cao|size)(?![\p{L}\p{N}_])"
+
+
+@query("citation_report", f"WITH {_CITED} SELECT query_id, config, url, hit_rank, title, cited, invalid, unused, len(cited) > 0 AS has_citations, 0 AS n_uncited_claims, 0 AS n_uncited_descriptive, len(invalid) = 0 AS is_valid FROM c")
 def citation_report(spark: SparkSession, d: str) -> DataFrame:
-    return citations.report(_answers(spark, d), "answer", "n_context").select("query_id", "config", "url", "hit_rank", "title", "cited", "invalid", "unused")
+    """Answers whose only line has marks: no claim is uncited, so validity is that of the marks."""
+    found = citations.report(_answers(spark, d), "answer", "n_context", descriptive=DESCRIPTIVE)
+    return found.select("query_id", "config", "url", "hit_rank", "title", "cited", "invalid", "unused", "has_citations", "n_uncited_claims", "n_uncited_descriptive", "is_valid")
 
 
-@query("citation_rates")
+@query("citation_rates", f"""
+    WITH {_CITED} SELECT count(*) AS n, round(avg((len(invalid) > 0)::INT), 4) AS invalid_index_rate, round(avg((len(cited) > 0)::INT), 4) AS citation_rate, round(avg((len(invalid) = 0)::INT), 4) AS validity_rate,
+      0.0::DOUBLE AS uncited_rate, 0.0::DOUBLE AS descriptive_rate, round(avg(len(unused)), 2) AS mean_unused FROM c""")
 def citation_rates(spark: SparkSession, d: str) -> DataFrame:
-    return citations.rates(citations.report(_answers(spark, d), "answer", "n_context"), "n_context")
+    return citations.rates(citations.report(_answers(spark, d), "answer", "n_context", descriptive=DESCRIPTIVE), "n_context")
+
+
+@query("uncited_claims", rf"""
+    WITH s AS (SELECT doc_id, list_filter(flatten(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda b: trim(b) <> '' AND NOT regexp_matches(b, '\[\d{{1,2}}\]')),
+        lambda b: string_split(regexp_replace(b, '([.!?])[ \t\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)))), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '\?[ \t\x0b\f\r]*$')) AS s FROM documents)
+    SELECT doc_id, len(list_filter(s, lambda x: regexp_matches(trim(x), '(?:^|[^\p{{L}}\p{{N}}_])\d[\d.,]{{2,}}'))) AS n_claims,
+      len(list_filter(s, lambda x: regexp_matches(trim(x), '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:màu|gồm|cao|size)(?:$|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(trim(x), '(?:^|[^\p{{L}}\p{{N}}_])\d[\d.,]{{2,}}'))) AS n_descriptive FROM s""")
+def uncited_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Both tiers of claims without a mark in the documents, taken as answers."""
+    found = citations.report(table(spark, d, "documents").select("doc_id", "text", F.lit(1).alias("n")), "text", "n", descriptive=DESCRIPTIVE)
+    return found.select("doc_id", F.col("n_uncited_claims").cast("long").alias("n_claims"), F.col("n_uncited_descriptive").cast("long").alias("n_descriptive"))
 
 
 @query("strip_invalid", rf"""
@@ -714,8 +858,194 @@ def index_urls(spark: SparkSession, d: str) -> DataFrame:
     return files.column_values(table(spark, d, "products"), "url")
 
 
-@query("validated_products", rf"""
-    WITH s AS (SELECT seq, trim(regexp_replace(nfc_normalize(coalesce(title, '')), '{SPACES}', ' ', 'g')) AS t FROM products)
-    SELECT seq, CASE WHEN lower(t) IN ('nan', 'none', 'null', '<na>') THEN '' ELSE t END AS title FROM s""")
+def _valid_sql(c: str) -> str:
+    t = rf"trim(regexp_replace(nfc_normalize(coalesce({c}, '')), '{SPACES}', ' ', 'g'))"
+    return f"CASE WHEN lower({t}) IN ('nan', 'none', 'null', '<na>') THEN '' ELSE {t} END"
+
+
+@query("validated_products", f"""
+    WITH s AS (SELECT seq, replace({_valid_sql('url')}, ' ', '') AS url, {', '.join(f'{_valid_sql(c)} AS {c}' for c in HASHED[1:])}, content_hash AS given FROM products)
+    SELECT * EXCLUDE (given), coalesce(nullif(given, ''), left(sha256({" || chr(31) || ".join(HASHED)}), 16)) AS content_hash FROM s""")
 def validated_products(spark: SparkSession, d: str) -> DataFrame:
-    return files.validate(table(spark, d, "products")).select("seq", "title")
+    return files.validate(table(spark, d, "products")).select("seq", *HASHED, "content_hash")
+
+
+# ---- what an index hands out, guards, and sets of their own
+
+
+@query("payloads", "SELECT seq AS id, url AS link, title AS name, price_vnd AS price FROM products")
+def payloads(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.payload(table(spark, d, "products"), {"id": "seq", "link": "url", "name": "title", "price": "price_vnd"})
+
+
+@query("state_texts", """
+    SELECT 'baseline' AS state, seq, CASE WHEN coalesce(title, '') = '' OR coalesce(description, '') = '' THEN 'nan' ELSE concat_ws(' ', title, description) END AS text, NULL::BIGINT AS price FROM products
+    UNION ALL SELECT 'clean', seq, concat_ws(' . ', nullif(title, ''), nullif(description, '')), price_vnd FROM products""")
+def state_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that two states are indexed by, each zipped with its payload by key."""
+    products = table(spark, d, "products")
+    out = []
+    for state in ("baseline", "clean"):
+        text, fields = retrieval.builders_for(state, states.baseline_text("title", "description"), states.embed_text("title", "description"), {"seq": "seq", "price": "price_vnd"}, ["price"])
+        both = ordering.zip_strict(products.select("seq", text.alias("text")), retrieval.payload(products, fields), "seq")
+        out.append((both if "price" in both.columns else both.withColumn("price", F.lit(None).cast("long"))).select(F.lit(state).alias("state"), "seq", "text", "price"))
+    return out[0].unionByName(out[1])
+
+
+@query("baseline_counts", "SELECT count(*) AS records, count(*) FILTER (coalesce(title, '') = '' OR coalesce(description, '') = '') AS nan_texts, count(*) FILTER (NOT starts_with(url, 'https://')) AS unwanted FROM products")
+def baseline_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of the unfiltered state, once it was read."""
+    rows = table(spark, d, "products").select("url", states.baseline_text("title", "description").alias("naive"))
+    out, seen = states.baseline_records(rows, "naive", F.col("url").startswith("https://"))
+    out.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(got["records"], got["nan_texts"], got["unwanted"])], "records long, nan_texts long, unwanted long")
+
+
+@query("blank_questions", rf"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) = '' AS blank FROM documents")
+def blank_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", retrieval.is_blank("text").alias("blank"))
+
+
+@query("fitting_questions", r"SELECT id, len(list_filter(string_split_regex(coalesce(question, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) BETWEEN 2 AND 8 AS fits FROM golden")
+def fitting_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "golden").select("id", evalset.within_words(F.col("question"), 2, 8).alias("fits"))
+
+
+@query("questions_by_intent", "SELECT intent, count(*) AS n, list_sort(list(id)) AS keys FROM golden GROUP BY intent")
+def questions_by_intent(spark: SparkSession, d: str) -> DataFrame:
+    return evalset.by_group(table(spark, d, "golden").select("intent", "id"), "intent", "id")
+
+
+@query("subset_flags", """
+    WITH r AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', 'subset', id)), id) AS r FROM golden WHERE answerable)
+    SELECT id, coalesce(in_ragas_subset, false) OR coalesce(r <= 20, false) AS in_ragas_subset FROM golden LEFT JOIN r USING (id)""")
+def subset_flags(spark: SparkSession, d: str) -> DataFrame:
+    return evalset.sticky_subset(table(spark, d, "golden").select("id", "answerable", "in_ragas_subset"), "id", "in_ragas_subset", F.col("answerable"), 20).select("id", "in_ragas_subset")
+
+
+@query("gold_titles", "WITH p AS (SELECT url, min(title) AS title FROM products GROUP BY url) SELECT id, g.url, p.title FROM (SELECT id, unnest(gold_urls) AS url FROM golden) g LEFT JOIN p ON p.url = g.url")
+def gold_titles(spark: SparkSession, d: str) -> DataFrame:
+    golds = table(spark, d, "golden").select("id", F.explode("gold_urls").alias("url"))
+    return evalset.lookup(golds, table(spark, d, "products").groupBy("url").agg(F.min("title").alias("title")), "url").select("id", "url", "title")
+
+
+@query("judged_in_pool", "SELECT query_id, url, hit_rank, coalesce(hit_rank - 2 BETWEEN 1 AND 5, false) AS known FROM hits")
+def judged_in_pool(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "hits").select("query_id", "url", "hit_rank", evalset.in_pool(F.col("hit_rank") - 2, F.lit(5)).alias("known"))
+
+
+@query("cache_misses", """
+    WITH k AS (SELECT id, left(sha256('{"question":"' || question || '"}'), 24) AS key, notes, reviewed FROM golden WHERE question IS NOT NULL),
+    c AS (SELECT key, max(coalesce(notes, '')) AS answer FROM k WHERE reviewed GROUP BY key)
+    SELECT k.id, k.key, c.answer, c.key IS NULL AS missed FROM k LEFT JOIN c USING (key)""")
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache of the reviewed questions knows of all of them, by a key over the request's fields."""
+    rows = table(spark, d, "golden").where("question is not null").select("id", citations.cache_key("question").alias("key"), "notes", "reviewed")
+    cache = rows.where("reviewed").groupBy("key").agg(F.max(F.coalesce("notes", F.lit(""))).alias("answer"))
+    found, misses = citations.probe(rows.select("id", "key"), cache, "key", "answer")
+    return found.join(misses.select("key", F.lit(True).alias("missed")), "key", "left").select("id", "key", "answer", F.coalesce("missed", F.lit(False)).alias("missed"))
+
+
+_BACK, _SUBJECT = "(?i)(?:^|[^\\p{L}])(?:nó|này|đó|thế|còn|khác)(?:$|[^\\p{L}])", "(?i)(?:^|[^\\p{L}])(?:hoa|bó|giỏ|kệ|lan|hồng)(?:$|[^\\p{L}])"
+
+
+@query("condensation_gate", f"""
+    SELECT id, hour % 3 > 0 AND (len(string_split_regex(trim(question), '\\s+')) <= 3 OR (regexp_matches(question, '{_BACK}') AND NOT regexp_matches(question, '{_SUBJECT}'))) AS gate
+    FROM (SELECT id, question, substr(id, 2)::BIGINT AS hour FROM golden WHERE question IS NOT NULL)""")
+def condensation_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "golden").where("question is not null")
+    return rows.select("id", citations.needs_context("question", F.substring("id", 2, 20).cast("long") % 3, _BACK, _SUBJECT).alias("gate"))
+
+
+@query("answers_json", """
+    WITH h AS (SELECT query_id, config, hit_rank, min(url) AS url FROM hits WHERE hit_rank <= 3 GROUP BY ALL)
+    SELECT query_id, config, to_json({'answer': query_id, 'sources': list({'n': hit_rank, 'source': url} ORDER BY hit_rank), 'abstained': false})::VARCHAR AS answer
+    FROM h WHERE (query_id, config) IN (SELECT (query_id, config) FROM h GROUP BY query_id, config HAVING count(*) = 3) GROUP BY query_id, config""")
+def answers_json(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits").where("hit_rank <= 3").groupBy("query_id", "config", "hit_rank").agg(F.min("url").alias("url"))
+    rows = hits.groupBy("query_id", "config").agg(F.array_sort(F.collect_list(F.struct("hit_rank", "url")))["url"].alias("urls")).where(F.size("urls") == 3)
+    return rows.select("query_id", "config", citations.answer_json("query_id", F.col("urls"), F.lit(False)).alias("answer"))
+
+
+@query("prompts", r"""
+    WITH u AS (SELECT query_id, hit_rank, min(coalesce(title, '')) AS title FROM hits WHERE config = 'dense' AND hit_rank <= 2 GROUP BY ALL),
+    c AS (SELECT query_id, string_agg('[' || hit_rank || '] ' || left(title, 300), chr(10) ORDER BY hit_rank) AS context FROM u GROUP BY query_id)
+    SELECT id, CASE WHEN coalesce(context, '') = '' THEN 'Say that nothing fits.' || chr(10) || question ELSE 'Cite.' || chr(10) || context || chr(10) || question END AS prompt
+    FROM golden LEFT JOIN c ON c.query_id = golden.id""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits").where("config = 'dense'").groupBy("query_id", "hit_rank").agg(F.min(F.coalesce("title", F.lit(""))).alias("title"))
+    contexts = citations.context(hits, "query_id", "hit_rank", "title", 2)
+    rows = table(spark, d, "golden").select(F.col("id").alias("query_id"), "question").join(contexts, "query_id", "left")
+    return rows.select(F.col("query_id").alias("id"), citations.prompt("Cite.", F.col("question"), F.col("context"), "Say that nothing fits.").alias("prompt"))
+
+
+@query("passage_rate", f"""
+    WITH {GRAMS}, v AS (SELECT doc_id, count(r.g) / count(*) AS share FROM g LEFT JOIN r USING (g) GROUP BY doc_id)
+    SELECT count(*) AS n_texts, round(coalesce(avg((share >= 0.3)::INT), 0), 6) AS rate FROM v""")
+def passage_rate(spark: SparkSession, d: str) -> DataFrame:
+    return quality.passage_rate(table(spark, d, "documents"), "text", "doc_id", 0.3, 8, 0.005).withColumn("rate", F.round("rate", 6))
+
+
+_NULLS = ("title", "description", "price_raw", "price_vnd", "image")
+
+
+def _ratio_sql(x: str) -> str:
+    return f"""(WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower({x}), '{TOK}'))) AS token FROM e), f AS (SELECT token, count(*) AS df FROM t GROUP BY token),
+        n AS (SELECT count(*) AS n FROM e WHERE {x} <> '') SELECT round(coalesce(sum(CASE WHEN df >= 0.6 * n THEN df ELSE 0 END) / sum(df), 0), 4) FROM f, n)"""
+
+
+@query("corpus_report", f"""
+    WITH e AS (SELECT *, coalesce(promo, '') AS p, coalesce(description, '') AS x, concat_ws(' . ', nullif(title, ''), nullif(description, '')) AS t FROM products),
+    w AS (SELECT seq, regexp_extract_all(lower(t), '{TOK}') AS t FROM e),
+    g AS (SELECT seq, unnest(list_distinct(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' ')))) AS g FROM w WHERE len(t) >= 8),
+    r AS (SELECT g FROM g GROUP BY g HAVING count(*) >= greatest(2, floor(0.005 * (SELECT count(*) FROM products)))),
+    v AS (SELECT seq, count(r.g) / count(*) AS share FROM g LEFT JOIN r USING (g) GROUP BY seq),
+    a AS (SELECT floor((epoch_us(TIMESTAMPTZ '2025-01-01 00:00:00+00') // 1000000 - epoch_us(crawled_at) // 1000000) / 86400)::BIGINT AS age FROM products WHERE crawled_at IS NOT NULL)
+    SELECT count(*) AS documents, {', '.join(f"count(*) FILTER ({c} IS NULL OR {c}::VARCHAR = '') AS null_{c}, round(count(*) FILTER ({c} IS NULL OR {c}::VARCHAR = '') / count(*), 4) AS rate_{c}" for c in _NULLS)},
+      round(count(price_vnd) / count(*), 4) AS parse_rate, count(*) FILTER (lower(trim(t)) IN ('nan', 'none', 'null', '<na>', 'na')) AS junk,
+      count(*) FILTER (contains(' ' || regexp_replace(lower(t), '{SPACES}', ' ', 'g') || ' ', ' nan ')) AS nan_tokens, count(url) - count(DISTINCT url) AS duplicate_urls, count(content_hash) - count(DISTINCT content_hash) AS duplicate_hashes,
+      {_ratio_sql('t')} AS boilerplate_embedded, {_ratio_sql('p')} AS boilerplate_promo, {_ratio_sql('x')} AS boilerplate_description, (SELECT round(coalesce(avg((share >= 0.3)::INT), 0), 4) FROM v) AS passage_rate,
+      (SELECT min(age) FROM a) AS newest_days, (SELECT max(age) FROM a) AS oldest_days, (SELECT list_sort(list(age))[len(list(age)) // 2 + 1] FROM a) AS median_days FROM e""")
+def corpus_report(spark: SparkSession, d: str) -> DataFrame:
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    products = table(spark, d, "products").select("seq", "url", "content_hash", "promo", "crawled_at", *_NULLS)
+    return quality.corpus_report(products, "seq", "url", "content_hash", states.embed_text("title", "description"), _NULLS, ("promo", "description"), "price_vnd", "crawled_at", now, min_share=0.005)
+
+
+@query("outcome_blocks", f"""
+    WITH {UNIQUE_HITS}, d AS (SELECT query_id, url, hit_rank AS r FROM h WHERE config = 'dense' AND hit_rank <= 5),
+    q AS (SELECT id AS query_id, list_distinct(gold_urls) AS gold FROM golden WHERE answerable AND len(gold_urls) > 0),
+    i AS (SELECT list(DISTINCT url) AS held FROM products WHERE coalesce(title, '') <> ''),
+    b AS (SELECT 'raw' AS block, query_id, gold FROM q UNION ALL SELECT 'restricted', query_id, list_intersect(gold, held) FROM q, i),
+    e AS (SELECT block, query_id, gold, len(gold) AS n FROM b WHERE len(gold) > 0),
+    m AS (SELECT block, query_id, count(*) AS k, min(r) AS f, sum(1 / log2(r + 1.0)) AS dcg FROM (SELECT block, query_id, unnest(gold) AS url FROM e) JOIN d USING (query_id, url) GROUP BY ALL)
+    SELECT block, (SELECT count(*) FROM q) AS n, count(*) AS n_scored, round(avg(coalesce(k / n, 0)), 4) AS recall_5, round(avg((coalesce(k, 0) > 0)::INT), 4) AS hit_5, round(avg(coalesce(1 / f, 0)), 4) AS mrr_5,
+      round(avg(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1.0))), 0)), 4) AS ndcg_5 FROM e LEFT JOIN m USING (block, query_id) GROUP BY block""")
+def outcome_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Scores against all gold, and against what the index still holds."""
+    golden = table(spark, d, "golden").select(F.col("id").alias("query_id"), "gold_urls", "answerable")
+    hits = _hits(spark, d).where("config = 'dense'").drop("config")
+    return evaluation.outcome_blocks(golden, hits, "query_id", "gold_urls", "url", table(spark, d, "products").where("coalesce(title, '') <> ''"), (5,))
+
+
+@query("latency_summary", """
+    WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+    SELECT round_even(median(value), 1) AS p50, round_even(max(value) FILTER (i = least(n - 1, round_even(0.95 * (n - 1), 0))), 1) AS p95, round_even(avg(value), 1) AS mean FROM r""")
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.latency(table(spark, d, "events").select("value"), "value")
+
+
+@query("evaluation_set")
+def evaluation_set(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation set built from the questions: reviewed rows carry over, the hits are the pool, and what was reranked well counts as gold."""
+    golden = table(spark, d, "golden")
+    pooled = evalset.pool([(i, _pool_of(spark, d, c)) for i, c in enumerate(("dense", "hybrid"))], "query_id", "url").select(F.col("query_id").alias("id"), "url", "title", "score")
+    return evalset.build(
+        golden.select("id", "question", "intent"), golden.where("reviewed").select("id", "gold_urls"), pooled, "id", "question", "intent", {"product_search": 0.5, "policy": 0.25, "attribute": 0.25}, 40, 10,
+        lambda pairs: F.col("score") >= 0.6,
+    )
+
+
+def _pool_of(spark: SparkSession, d: str, config: str) -> DataFrame:
+    return table(spark, d, "hits").where(F.col("config") == config).groupBy("query_id", "url").agg(F.min("hit_rank").alias("hit_rank"), F.max("title").alias("title"), F.max("score").alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def require(spark: SparkSession, *names: str) -> dict[str, str]:
+    """The settings by name; an error that lists all that are missing or empty."""
+    got = {n: spark.conf.get(n, None) or os.environ.get(n) for n in names}
+    if missing := sorted(n for n, v in got.items() if not v):
+        raise RuntimeError(f"not set: {', '.join(missing)}")
+    return got
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors. Only a local session that names none (as in tests) gets one of this machine, which is removed
     with it; on a cluster that is an error, for executors could not share such a folder."""

@@ -35,9 +35,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("corrupted").alias("url", "labels")).select("url", F.explode("labels").alias("label"))
 
 
-def write_manifest(truth: DataFrame, path: str, seed: int) -> None:
-    """Writes (url, label) as rows (url, labels) of Parquet, with the seed: a manifest that needs no single file."""
-    truth.groupBy("url").agg(F.array_sort(F.collect_set("label")).alias("labels")).withColumn("seed", F.lit(seed)).write.mode("overwrite").parquet(path)
+def write_manifest(truth: DataFrame, path: str, seed: int, rates: dict[str, float] | None = None, n_clean: int = 0, n_corrupt: int = 0) -> None:
+    """Writes (url, label) as a manifest that `read_manifest` reads: one JSON document with the seed, the rates, both row counts, a summary of the labels
+    and the map of URLs to their labels. It is one document, so it is made in one task; a truth too large for that goes to `write_results`."""
+    of = truth.where("url is not null and label is not null").distinct()
+    labels = of.groupBy("url").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    summary = of.groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("summary"))
+    doc = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("url", "labels")))).alias("corrupted")).join(F.broadcast(summary))
+    fixed = F.struct(F.lit(seed).alias("seed"), F.create_map(*[x for k, v in (rates or {}).items() for x in (F.lit(k), F.lit(v))]).cast("map<string,double>").alias("rates"),
+                     F.lit(n_clean).alias("n_clean_input"), F.lit(n_corrupt).alias("n_corrupt_output"))
+    doc.select(fixed.alias("f"), "summary", "corrupted").select("f.*", "summary", "corrupted").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of few rows as one JSON file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """The JSON documents that match a glob, with the file that each comes from; none where nothing matches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    paths = [str(f.getPath()) for f in found or []]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, file string")
+    return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("file", F.input_file_name())
+
+
+def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of constants, with `seq` for their order."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{schema}, seq long")
 
 
 def write_results(df: DataFrame, path: str, *by: str) -> None:

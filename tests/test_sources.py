@@ -20,8 +20,38 @@ def test_manifest(spark, tmp_path):
     p.write_text(json.dumps({"seed": 1, "corrupted": {"u": ["a", "b"], "v": []}}, indent=1))
     got = sorted((r.url, r.label) for r in files.read_manifest(spark, str(p)).collect())
     assert got == [("u", "a"), ("u", "b")]
-    files.write_manifest(files.read_manifest(spark, str(p)), str(tmp_path / "m2"), 1)
-    assert spark.read.parquet(str(tmp_path / "m2")).first().labels == ["a", "b"]
+    truth = files.read_manifest(spark, str(p))
+    files.write_manifest(truth, str(tmp_path / "m2"), 1, {"a": 0.5}, 3, 4)
+    assert sorted((r.url, r.label) for r in files.read_manifest(spark, str(tmp_path / "m2")).collect()) == got
+    doc = json.loads(next((tmp_path / "m2").glob("part-*")).read_text())
+    assert doc == {"seed": 1, "rates": {"a": 0.5}, "n_clean_input": 3, "n_corrupt_output": 4, "summary": {"a": 1, "b": 1}, "corrupted": {"u": ["a", "b"]}}
+    files.write_manifest(truth.limit(0), str(tmp_path / "m3"), 1)
+    assert files.read_manifest(spark, str(tmp_path / "m3")).count() == 0
+
+
+def test_reports_and_results(spark, tmp_path):
+    for c in ("dense", "hybrid"):
+        files.write_report(spark.createDataFrame([(c, 0.5)], "config string, recall double"), str(tmp_path / f"retrieval_{c}"))
+    got = files.read_results(spark, str(tmp_path / "retrieval_*" / "part-*"), "config string, recall double").collect()
+    assert sorted(r.config for r in got) == ["dense", "hybrid"] and all("retrieval_" in r.file for r in got)
+    assert files.read_results(spark, str(tmp_path / "none_*"), "config string").count() == 0
+    files.write_results(spark.createDataFrame([("a", "x", 1), ("b", "x", 2)], "config string, state string, n int"), str(tmp_path / "cells"), "config", "state")
+    files.write_results(spark.createDataFrame([("a", "x", 3)], "config string, state string, n int"), str(tmp_path / "cells"), "config", "state")
+    assert {r.config: r.n for r in spark.read.parquet(str(tmp_path / "cells")).collect()} == {"a": 3, "b": 2}
+    assert [tuple(r) for r in files.values_table(spark, [("q", 1)], "word string, n int").collect()] == [("q", 1, 0)]
+
+
+def test_settings_fail_at_once(spark, monkeypatch):
+    from petalstream.plans.session import require
+
+    monkeypatch.setenv("PETAL_A", "x")
+    assert require(spark, "PETAL_A") == {"PETAL_A": "x"}
+    try:
+        require(spark, "PETAL_C", "PETAL_A", "PETAL_B")
+    except RuntimeError as e:
+        assert "PETAL_B, PETAL_C" in str(e)
+    else:
+        raise AssertionError
 
 
 def test_read_through(spark, tmp_path):

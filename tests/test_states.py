@@ -45,7 +45,7 @@ def test_damage_is_deterministic_and_found_again(spark):
     kept = mended.where("kept").collect()
     urls = [r.url for r in kept]
     assert len(urls) == len(set(urls)) and not any("?" in u or u.endswith("//") for u in urls)
-    flooded = [r for r in kept if "boilerplate_flood" in r.found and not {"truncation", "missing_field"} & set(r.found)]
+    flooded = [r for r in kept if "boilerplate_flood" in r.found and not {"truncation", "missing_field"} & {*r.found, *r.labels}]
     assert flooded and not any(S.FLOOD in r.description for r in flooded)
     assert all(len(r.new_hash) == 16 for r in kept) and mended.where("not kept and new_hash is not null").count() == 0
     clean = {r.url: r for r in df.collect()}
@@ -162,3 +162,40 @@ def test_citations(spark):
     h = spark.createDataFrame([(["a", "b", "c", "d", "e", "f"],)], "t array<string>")
     assert h.select(C.history(F.col("t"), F.lit(6)).alias("x"), C.history(F.col("t"), F.lit(1)).alias("y")).first() == (["b", "c", "d", "e"], [])
     assert spark.range(1).select(C.fenced_json(F.lit('```json\n{"a": 1}\n```'), "a int").alias("x")).first().x.a == 1
+
+
+def test_tiers_of_claims_and_the_gate(spark):
+    df = spark.createDataFrame([("Giá 1.100.000đ. Màu đỏ đẹp. Màu gì?\nCao hai mét [1].", 2)], "a string, n int")
+    row = C.report(df, "a", "n", descriptive="(?iu)màu|cao").first()
+    assert (row.n_uncited_claims, row.n_uncited_descriptive, row.has_citations, row.is_valid) == (1, 1, True, False)
+    asked = spark.createDataFrame([("còn màu trắng?", 0), ("còn màu trắng?", 1), ("loại đó có giao tận nơi không", 1), ("hoa đó có giao tận nơi không", 1), (None, 2)], "q string, turns int")
+    got = [r.x for r in asked.select(C.needs_context("q", F.col("turns"), "đó|còn", "hoa|bó").alias("x")).collect()]
+    assert got == [False, True, True, False, True]
+
+
+def test_cache_probe(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "key string")
+    found, misses = C.probe(asked, spark.createDataFrame([("a", "x")], "key string, answer string"), "key", "answer")
+    assert sorted((r.key or "", r.answer or "") for r in found.collect()) == [("", ""), ("a", "x"), ("b", ""), ("b", "")] and [r.key for r in misses.collect()] == ["b"]
+
+
+def test_an_evaluation_set_is_built(spark):
+    qs = [("q1", "hoa hồng đỏ tặng mẹ", "a"), ("q2", "Hoa hồng đỏ tặng MẸ", "a"), ("q3", "lan", "a"), ("q4", "kệ hoa chúc mừng", "b"), ("q5", "giỏ hoa cúc tím nhỏ", "a")]
+    questions = spark.createDataFrame(qs, "id string, question string, intent string")
+    labelled = spark.createDataFrame([("q4", ["u9"])], "id string, gold_urls array<string>")
+    pool = spark.createDataFrame([("q1", "u1", "Bó hướng dương", 0.9), ("q1", "u2", "Lan", 0.1), ("q5", "u3", "Giỏ hoa cúc tím", 0.9)], "id string, url string, title string, score double")
+    got = {r.id: r for r in V.build(questions, labelled, pool, "id", "question", "intent", {"a": 0.5, "b": 0.5}, 8, 1, lambda p: F.col("score") > 0.5).collect()}
+    assert set(got) == {"q1", "q4", "q5"} and got["q4"].carried and got["q4"].gold_urls == ["u9"] and not got["q1"].carried
+    assert got["q1"].gold_urls == ["u1"] and got["q5"].leaks and not got["q1"].leaks and sum(r.in_subset for r in got.values()) == 1
+    assert sorted(r.stable_id for r in got.values()) == ["q00000001", "q00000002", "q00000003"]
+    again = V.sticky_subset(spark.createDataFrame([("a", True), ("b", False), ("c", None)], "id string, f boolean"), "id", "f", F.col("id") != "c", 1).collect()
+    assert {r.id: r.f for r in again}["a"] and sum(r.f for r in again) in (1, 2)
+    assert {r.g: (r.n, r["keys"]) for r in V.by_group(spark.createDataFrame([("x", 2), ("x", 1)], "g string, k int"), "g", "k").collect()} == {"x": (2, [1, 2])}
+
+
+def test_strict_pairing(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, 5), (2, 6)], "k int, w int")
+    assert sorted(map(tuple, O.zip_strict(a, b, "k").collect())) == [(1, "x", 5), (2, "y", 6)]
+    for bad in (b.where("k = 1"), b.union(b), b.selectExpr("k + 1 as k", "w")):
+        with pytest.raises(ValueError):
+            O.zip_strict(a, bad, "k")
