@@ -551,17 +551,19 @@ def _config_sql(c: retrieval.RetrievalConfig) -> str:
     return rank(f"{_SECOND} DESC, r" if c.rerank else "r", first("s"), cond)
 
 
-def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with vector, label and text; queries with vector and question; lexical scores)"""
+def _searched(spark: SparkSession, d: str, with_lexical: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with vector, label and text; queries with vector and question; lexical scores, where they are asked for)"""
     rows = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     questions = table(spark, d, "golden").select((F.substring("id", 2, 20).cast("long") * 50).alias("query_id"), "question")
     queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding").join(questions, "query_id", "left")
+    if not with_lexical:
+        return rows, queries, None
     scored = retrieval.bm25(rows.select("vec_id", "text"), queries.select("query_id", "question"), "vec_id", "text", "query_id", "question")
     return rows, queries, scored.withColumn("score", F.round("score", 6))
 
 
 def _search(spark: SparkSession, d: str, name: str, tables: tuple | None = None) -> DataFrame:
-    rows, queries, lexical = tables or _searched(spark, d)
+    rows, queries, lexical = tables or _searched(spark, d, retrieval.CONFIGS[name].hybrid)
     second = lambda hits: F.round(F.col("score") * (1 + F.col("vec_id") % 7), 6)  # noqa: E731  # stands for a model
     return retrieval.run_config(
         retrieval.CONFIGS[name], rows, queries, "vec_id", "query_id", "embedding", F.col("label") < 5, lexical, second, "question"
