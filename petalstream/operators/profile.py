@@ -240,8 +240,13 @@ def profile(
     for c in numbers:
         if df.schema[c].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
             df = df.withColumn(c, F.unix_micros(F.col(c).cast("timestamp")))
-    groups = written(value_groups(df, group, texts))
-    found = dict(expressions or induce(groups))
+    if expressions is None:
+        groups = written(value_groups(df, group, texts))
+        found = induce(groups)
+    else:  # nothing is induced, so values need no shapes
+        h1, h2 = F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), F.col("value")).alias("h2")
+        groups = long_form(df, texts, group).select(group, "column", h1, h2).groupBy(group, "column", "h1", "h2").agg(F.count("*").alias("n"))
+        found = dict(expressions)
     contracts = contracts or {}
     blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     aggs = [F.count("*").alias("n_rows")]
