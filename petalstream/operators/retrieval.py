@@ -87,11 +87,13 @@ def _scores(shared: Broadcast, k: int, digits: int, names: list[str]) -> Callabl
     return run
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, term, tf, doc_len) of each term of each text."""
-    terms = docs.select(doc_id, tokens(text).alias("__t"))
-    rows = terms.select(doc_id, F.size("__t").alias("doc_len"), F.explode("__t").alias("term"))
-    return rows.groupBy(doc_id, "doc_len", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """(doc_id, doc_len, term, tf) of each text and each of the given terms that it holds, and of the empty term once for each row of the table: so
+    one pass over the texts gives what is scored and how long all of them are. Other terms drop out before the shuffle."""
+    rows = docs.select(doc_id, tokens(text).alias("__t"))
+    rows = rows.select(doc_id, F.size("__t").alias("doc_len"), F.explode(F.concat("__t", F.array(F.lit("")))).alias("term"))
+    wanted = small(cut(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()))
+    return rows.join(wanted, "term", "left_semi").groupBy(doc_id, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -101,9 +103,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
     terms, and sums combine map-side. A text without terms is not counted, nor are repeated doc ids told apart.
     """
     asked = cut(queries.select(query_id, F.explode(F.array_distinct(tokens(question))).alias("term")))
-    terms = small(cut(asked.select("term").distinct()))
-    own = written(postings(docs, doc_id, text).join(terms, "term", "left_semi"))
-    sizes = docs.select(F.size(tokens(text)).alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_len"))
+    every = written(postings(docs, doc_id, text, asked))
+    own = every.where("term != ''")
+    sizes = every.where("term = '' and doc_len > 0").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf")).alias("mean_len"))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # sizes is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
