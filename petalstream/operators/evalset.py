@@ -43,7 +43,7 @@ def prefilter(df: DataFrame, key: str, text: str, by: str, cap: int = 30, least:
 
 
 def sticky_subset(df: DataFrame, key: str, flag: str, eligible: Column, n: int, seed: int = 42) -> DataFrame:
-    """The table with the flag set for the first `n` eligible rows by a seeded draw; a flag that is set stays, and counts for none of the n places."""
+    """The table with the flag set for the first `n` eligible rows by a seeded draw; a flag that is set stays, whether its row is among these or not."""
     drawn = df.where(eligible).select(key).withColumn("__d", draw(seed, "subset", key)).orderBy("__d", key).limit(n).select(key, F.lit(True).alias("__in"))
     out = df.join(F.broadcast(drawn), key, "left")  # n rows
     return out.select(*[(F.coalesce(F.col(flag), F.lit(False)) | F.col("__in").isNotNull()).alias(flag) if c == flag else F.col(c) for c in df.columns])

@@ -191,7 +191,8 @@ def strip_sentences(df: DataFrame, text: str, key: str, repeated: DataFrame, sha
 
     Sentences meet both sets in joins by hash; n-grams and tokens are counted in one aggregate. Keys must be unique.
     """
-    parts = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("__at", "__s")).withColumn("__tok", T.tokens("__s")).where(F.size("__tok") > 0)
+    parts = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("__at", "__s")).withColumn("__tok", T.tokens("__s"))
+    parts = written(parts.where(F.size("__tok") > 0))
     marked = parts.select(key, "__at", F.explode(T.shingles(F.col("__tok"), size)).alias("g")).select(key, "__at", F.xxhash64("g").alias("h"))
     marked = marked.join(small(cut(repeated.select("h"))).withColumn("__hit", F.lit(1)), "h", "left").select(key, "__at", F.lit(True).alias("__gram"), "__hit")
     if shared is not None:  # at most the mean number of tokens of a text, over the share of texts that they stand in
