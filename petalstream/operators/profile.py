@@ -30,10 +30,14 @@ ANY = ".*"
 OCTET_BITS, EXPRESSION_BITS = 8.0, 8.0
 
 
+def _beyond_ascii(v: Column) -> Column:
+    return F.octet_length(v) > F.length(v)
+
+
 def _shape(v: Column) -> Column:
     """Tokens of a value as codes, with all else as it stands; a code is escaped by none, for letters and digits occur in tokens only."""
     c = F.translate(v, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "9" * 10 + "f" * 6 + "z" * 20 + "G" * 6 + "Z" * 20)
-    c = F.when(v.rlike(r"[^\x00-\x7f]"), F.regexp_replace(c, r"(?<![9fzGZ])[9fzGZ]*+[\p{L}\p{M}\p{N}&&[^\x00-\x7f]][9fzGZ\p{L}\p{M}\p{N}]*+", "W")).otherwise(c)
+    c = F.when(_beyond_ascii(v), F.regexp_replace(c, r"(?<![9fzGZ])[9fzGZ]*+[\p{L}\p{M}\p{N}&&[^\x00-\x7f]][9fzGZ\p{L}\p{M}\p{N}]*+", "W")).otherwise(c)
     edge = "(?![9fzGZ])"
     for run, code in (("9+", "D"), ("[9f]+", "H"), ("[9G]+", "K"), ("[9fz]+", "L"), ("[9GZ]+", "U"), ("[9fzGZ]+", "A")):
         c = F.regexp_replace(c, f"(?<![9fzGZ]){run}{edge}", code)
@@ -44,7 +48,8 @@ def _set(v: Column, w: Column) -> Column:
     """Codes of the character sets that a value draws on; `w` is the value with each word as one letter, where what stands between is sooner found."""
     inside = {"n": r"\p{N}", "a": r"[a-z]", "A": r"[A-Z]", "w": r"[\p{L}\p{M}&&[^A-Za-z]]"}
     gaps = {"s": r"[\s\p{Z}]", "p": r"\p{P}", "o": r"[^\p{L}\p{M}\p{N}\p{P}\p{Z}\s]"}
-    return F.concat(*[F.when(c.rlike(x), code).otherwise("") for c, kinds in ((v, inside), (w, gaps)) for code, x in kinds.items()])
+    has = lambda c, code, x: _beyond_ascii(v) & c.rlike(x) if code == "w" else c.rlike(x)
+    return F.concat(*[F.when(has(c, code, x), code).otherwise("") for c, kinds in ((v, inside), (w, gaps)) for code, x in kinds.items()])
 
 
 def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
